@@ -6,35 +6,69 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import exact_dedup, packing, substring_dedup, token_counts, unigram
+from lexloom.llm import (
+    exact_dedup,
+    html_extract,
+    line_dedup,
+    near_dedup,
+    packing,
+    quality_classifier,
+    quality_rules,
+    substring_dedup,
+    token_counts,
+    unigram,
+)
 
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.dedup(_documents(spark, sf_dir))
+    return exact_dedup.dedup(_table(spark, sf_dir))
+
+
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(_table(spark, sf_dir))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.removed_words(_documents(spark, sf_dir))
+    return substring_dedup.removed_words(_table(spark, sf_dir))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(_table(spark, sf_dir), _table(spark, sf_dir, "labels"))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(_documents(spark, sf_dir))
+    return token_counts.count_tokens(_table(spark, sf_dir))
 
 
 def op6_unigram_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unigram.encode_documents(_documents(spark, sf_dir))
+    return unigram.encode_documents(_table(spark, sf_dir))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(_table(spark, sf_dir))
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_classes(_table(spark, sf_dir))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_documents(spark, sf_dir))
+    return packing.pack(_table(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_exact_dedup, op3_substring_dedup, op5_token_counts, op6_unigram_encoding, op10_packing]
+    found = [
+        op1_exact_dedup, op2_near_dedup, op3_substring_dedup, op4_quality_classifier, op5_token_counts,
+        op6_unigram_encoding, op7_quality_rules, op8_html_extraction, op9_line_dedup, op10_packing,
+    ]
     return {f.__name__: f for f in found}
 
 

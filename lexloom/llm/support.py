@@ -59,7 +59,7 @@ class Stage:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Write df and return it as read back; shuffle files of its making can then be freed."""
         path = f"{self.path}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         del df
         release(self.spark)

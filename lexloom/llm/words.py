@@ -89,7 +89,7 @@ def names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         sums = np.zeros(len(piece) + 1, np.uint64)
         np.cumsum(_BYTE[piece] * _power("up", _BASE, len(piece)), out=sums[1:])
         s, e = starts[i:j] - lo, ends[i:j] - lo
-        out[i:j] = (sums[e] - sums[s]) * _power("down", _INVERSE, len(piece))[s]
+        out[i:j] = (sums[e] - sums[s]) * _power("down", _INVERSE, len(piece) + 1)[s]
         i = j
     return mix(out + np.uint64(1))
 
