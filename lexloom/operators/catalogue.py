@@ -112,3 +112,19 @@ def shared_children(refs: DataFrame, editions: DataFrame) -> DataFrame:
 def each_once(df: DataFrame, key: str, order: str) -> DataFrame:
     """One row per key, the first by order."""
     return df.groupBy(key).agg(F.min_by(F.struct(*[c for c in df.columns if c != key]), order).alias("r")).select(key, "r.*")
+
+
+def descend(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
+    """root, doc_key and depth (2 for direct children) of what roots (edges too) hold, down to a depth; edges must have no cycle."""
+    last = roots.select(F.col("host_key").alias("root"), "doc_key", F.lit(2).alias("depth")).distinct()
+    held = last
+    for _ in range(depth - 2):
+        last = last.select("root", F.col("doc_key").alias("host_key"), "depth").join(edges, "host_key").select("root", "doc_key", (F.col("depth") + 1).alias("depth")).distinct()
+        held = held.unionByName(last)
+    return held
+
+
+def carried(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """rows with value carried on from the last row of the key that has one."""
+    window = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn(f"{value}_carried", F.last(value, ignorenulls=True).over(window))
