@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.support import Stage, attach, plan_bytes, prepare
+from lexloom.llm.support import Stage, attach, free_name, plan_bytes, prepare
 from lexloom.llm.words import grams, mix, names, ragged, spans, strings
 
 WINDOW = 13
@@ -359,10 +359,12 @@ def removed_words(docs: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with covered words, and the white space behind them, cut from the text; n_chars follows where it is a column."""
-    changed = _solve(docs, True).filter("n_removed > 0").groupBy("key").agg(F.min("new_text").alias("_new_text"))
-    out = docs.withColumn("_key", _key(docs)).join(changed.withColumnRenamed("key", "_key"), "_key", "left")
-    text = F.coalesce("_new_text", "text")
-    new = {"text": text} | ({"n_chars": F.when(F.col("_new_text").isNotNull(), F.char_length("_new_text").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
+    key, new_text = free_name(docs, "_key"), free_name(docs, "_new_text")
+    changed = _solve(docs, True).filter("n_removed > 0").groupBy("key").agg(F.min("new_text").alias(new_text)).withColumnRenamed("key", key)
+    out = docs.withColumn(key, _key(docs)).join(changed, key, "left")
+    new = {"text": F.coalesce(new_text, "text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col(new_text).isNotNull(), F.char_length(new_text).cast("long")).otherwise(F.col("n_chars"))
     return out.withColumns(new).select(*docs.columns)
 
 

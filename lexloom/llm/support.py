@@ -107,4 +107,12 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int)
 def with_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows of docs whose id is in ids (null matches null); texts are streamed, only ids are hashed."""
     keys = ids.select(F.col(id_col).alias("_keep")).distinct().hint("shuffle_hash")
-    return docs.join(keys, docs[id_col].eqNullSafe(F.col("_keep")), "left_semi")
+    return docs.join(keys, docs[id_col].eqNullSafe(keys["_keep"]), "left_semi")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
