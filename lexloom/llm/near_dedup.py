@@ -12,7 +12,11 @@ their weighted Jaccard similarity, the sum of the smaller over that of the large
 Bands of ROWS coordinates make groups. In a group one centre, drawn by a hash of the group,
 is compared with every member of another class; the links' components become the classes,
 the centre leaves its group, and groups of one class are done. So every pair of a group is
-compared or already of one class, and a hot group costs its size each round, not its square.
+compared or already of one class. Each later round draws twice as many centres, so groups
+end within a few rounds. Groups that after REFINE_AFTER rounds still hold more than LARGE
+members of different classes (documents with one long passage in common, say) are not
+compared on: their members get longer signatures and bands of FINE_ROWS coordinates, which
+part documents below the threshold far better, and go on in those groups.
 Comparisons are exact: the two element sets, 40 bits an element, are intersected.
 
 Documents with equal shingle counts are one from the start. Documents of one to four words
@@ -40,6 +44,10 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 16, 4
 MARGIN = 4.0
+FINE_BANDS, FINE_ROWS = 80, 10
+REFINE_AFTER, LARGE = 2, 16
+#: Darts that are thrown at once, about.
+DARTS = 1_500_000
 LAST = 2**63 - 1
 
 _UNIT = np.uint64(0x9FB21C651E98DF25)
@@ -109,13 +117,17 @@ def dart_sketches(row: np.ndarray, unit: np.ndarray, n: int, k: int = BANDS * RO
     return out.reshape(n, k)
 
 
-def band_names(signatures: np.ndarray) -> np.ndarray:
-    """BANDS 64-bit names of each signature."""
-    out = np.zeros((len(signatures), BANDS), np.uint64)
-    parts = signatures.reshape(len(signatures), BANDS, ROWS)
-    for k in range(ROWS):
+def band_names(signatures: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """The 64-bit names of each signature's bands."""
+    out = np.full((len(signatures), bands), rows, np.uint64)
+    parts = signatures.reshape(len(signatures), bands, rows)
+    for k in range(rows):
         out = mix(out * _DART ^ parts[:, :, k])
-    return mix(out + np.arange(1, BANDS + 1, dtype=np.uint64) * _UNIT)
+    return mix(out + np.arange(1, bands + 1, dtype=np.uint64) * _UNIT)
+
+
+def _lists(bands: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, bands.shape[1]), pa.int32()), pa.array(bands.view(np.int64).ravel()))
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,9 +140,20 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.add.at(two, row, mix(unit ^ _DART))
         content = np.stack([one, two], 1).astype("<u8").tobytes()
         contents = [content[16 * i : 16 * i + 16] if w else None for i, w in enumerate(weight.tolist())]
-        bands = band_names(dart_sketches(row, unit, n)).view(np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS), pa.int32()), pa.array(bands.ravel()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(contents, pa.binary()), pa.array(weight), lists], ["key", "content", "weight", "bands"])
+        bands = _lists(band_names(dart_sketches(row, unit, n)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(contents, pa.binary()), pa.array(weight), bands], ["key", "content", "weight", "bands"])
+
+
+def _fine_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    k = FINE_BANDS * FINE_ROWS
+    step = max(1, int(DARTS / (k * (np.log(k) + MARGIN))))
+    for batch in batches:
+        for at in range(0, batch.num_rows, step):
+            part = batch.slice(at, step)
+            sets = [_units(x) for x in part.column(1).to_pylist()]
+            row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            signatures = dart_sketches(row, mix(np.concatenate(sets)), len(sets), k)
+            yield pa.RecordBatch.from_arrays([part.column(0), _lists(band_names(signatures, FINE_BANDS, FINE_ROWS))], ["id", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,14 +224,28 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             classed = members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("cls", F.coalesce("label", "id")).drop("label")
         classed = stage.write(classed, f"classed-{k}")
         draw = F.struct(F.xxhash64("id", "band", F.lit(k)).alias("h"), F.col("id").alias("id"), F.col("cls").alias("cls"))
-        open_bands = classed.groupBy("band").agg(F.count("*").alias("held"), F.min("cls").alias("low"), F.max("cls").alias("high"), F.min(draw).alias("centre")).filter("low <> high")
-        joined = stage.write(attach(classed, open_bands.select("band", "held", "centre"), "band", "held", n_rows), f"open-{k}")
-        pairs = joined.filter("cls <> centre.cls").select(F.col("id").alias("member"), F.col("centre.id").alias("centre"), F.col("cls").alias("m"), F.col("centre.cls").alias("c"))
-        found = _compare(pairs.select("member", "centre").distinct(), sets, threshold, stage, f"round-{k}").select("a", "b")
-        links = found if links is None else links.unionByName(found)
+        state = classed.groupBy("band").agg(F.count("*").alias("held"), F.min("cls").alias("low"), F.max("cls").alias("high"), F.min(draw).alias("first")).filter("low <> high")
+        open_rows = stage.write(attach(classed, state.select("band", "held", "first"), "band", "held", n_rows), f"open-{k}")
+        if k == REFINE_AFTER:
+            large = open_rows.filter(F.col("held") > LARGE).select("id").distinct()
+            fine = sets.join(large, "id", "left_semi").mapInArrow(_fine_sketch, "id long, bands array<long>").select(F.explode("bands").alias("band"), "id")
+            fine = stage.write(fine, "fine")
+            twice = fine.groupBy("band").agg(F.count("*").alias("held")).filter("held > 1")
+            fine = attach(fine, twice, "band", "held", n_rows).select("band", "id")
+            members = stage.write(open_rows.filter(F.col("held") <= LARGE).select("band", "id").unionByName(fine), f"members-{k}-fine")
+            k += 1
+            continue
+        # the first by hash, and each other member with a chance that makes 2**k centres on average
+        centre = (F.col("id") == F.col("first.id")) | (F.pmod(F.xxhash64("id", "band", F.lit(k + 1000)), F.col("held")) < 2**k - 1)
+        marked = stage.write(open_rows.withColumn("is_centre", centre).drop("first"), f"marked-{k}")
+        centres = marked.filter("is_centre").groupBy("band").agg(F.first("held").alias("held"), F.collect_list(F.struct("id", "cls")).alias("centres"))
+        met = attach(marked.drop("held"), centres, "band", "held", n_rows).select("id", "cls", F.explode(F.filter("centres", lambda c: c["cls"] != F.col("cls"))).alias("c"))
+        pairs = met.select(F.col("id").alias("member"), F.col("c.id").alias("centre")).distinct()
+        found = _compare(pairs, sets, threshold, stage, f"round-{k}").select("a", "b")
         if not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
             labels = components(links, stage, f"classes-{k}")
-        members = stage.write(joined.filter("id <> centre.id").select("band", "id"), f"members-{k + 1}")
+        members = stage.write(marked.filter(~F.col("is_centre")).select("band", "id"), f"members-{k + 1}")
         k += 1
     content = groups.select("content", "size", F.col("rep").alias("node"))
     if labels is not None:

@@ -26,7 +26,7 @@ def corpus(seed: int = 1, n: int = 40) -> list[tuple]:
     texts += [texts[0], texts[1].replace(" ", "  "), texts[2].replace("\n", " \n")]
     for k in (3, 4, 5):
         words = texts[k].split(" ")
-        for _ in range(2):
+        for _ in range(1):
             words[rnd.randrange(len(words))] = "changed"
         texts.append(" ".join(words))
     texts += [f"{prose(rnd, 40)} {passage} {prose(rnd, 40)}" for _ in range(4)]
