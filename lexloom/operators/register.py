@@ -89,7 +89,7 @@ def expand(rows: DataFrame) -> DataFrame:
 def violations(rows: DataFrame) -> DataFrame:
     """surface and message of readings that don't resolve: dangling spellings, lemmas that are no
     citation form, then duplicates and readings that no selector tells apart (not where spellings dangle)."""
-    has = rows.groupBy("surface").agg(F.max(F.col("lemma").isNotNull()).alias("identity"), F.max(F.col("lemma") == F.col("surface")).alias("citation"))
+    has = rows.groupBy("surface").agg(F.max(F.col("lemma").isNotNull()).alias("identity"), F.max(F.coalesce(F.col("lemma") == F.col("surface"), F.lit(False))).alias("citation"))
     named = rows.filter("spellings is not null").select("surface", F.explode("spellings").alias("name")).distinct()
     of_names = named.join(has.select(F.col("surface").alias("name"), "identity"), "name", "left")
     quote = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
