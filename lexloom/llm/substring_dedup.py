@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.support import Stage, attach, free_name, plan_bytes, prepare
+from lexloom.llm.support import Stage, attach, free_name, prepare
 from lexloom.llm.words import grams, mix, names, ragged, spans, strings
 
 WINDOW = 13
@@ -44,8 +44,8 @@ REACH = sum(ROUNDS)
 PHRASE = WINDOW - REACH
 LAST = 2**63 - 1
 
-#: Bytes of text for one bucket of phrases or windows.
-BUCKET_BYTES = 8 << 20
+#: Words of text for one bucket of phrases or windows.
+BUCKET_WORDS = 2 << 20
 
 _LOW = np.uint64((1 << 40) - 1)
 
@@ -320,9 +320,9 @@ def _solve(docs: DataFrame, with_text: bool) -> DataFrame:
     prepare(spark)
     stage = Stage(spark, "substring-dedup")
     texts = docs.select(_key(docs), "text")
-    buckets = max(16, plan_bytes(texts) // BUCKET_BYTES)
     all_rows = stage.write(texts.mapInArrow(_summaries, "key long, n_words long, seq binary, whole binary"), "summaries")
-    n_rows = all_rows.count()
+    n_rows, n_words = all_rows.agg(F.count("*"), F.coalesce(F.sum("n_words"), F.lit(0))).first()
+    buckets = max(16, n_words // BUCKET_WORDS)
     groups = stage.write(all_rows.groupBy("seq").agg(F.count("*").alias("size"), F.min("key").alias("owner")), "groups")
     rows = attach(all_rows, groups, "seq", "size", n_rows)
     shared = stage.write(

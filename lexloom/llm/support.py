@@ -85,11 +85,6 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the bytes a frame is made from."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
 def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int) -> DataFrame:
     """Inner join rows with groups, where key is unique in groups and size counts a group's rows.
 
