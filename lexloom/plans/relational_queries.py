@@ -182,12 +182,14 @@ def browse_tree(spark, sf_dir):
     return per_nation.join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select("r_name", "n_name", "works", "editions")
 
 
-@query("SELECT o_orderstatus AS branch, CASE WHEN o_orderkey % 4 = 1 THEN 'merged' WHEN o_orderkey % 4 = 2 THEN CASE WHEN o_custkey % 3 > 0 THEN 'updating' ELSE 'in-review' END WHEN o_orderstatus = 'O' THEN CASE WHEN o_custkey % 3 > 0 THEN 'drafting' ELSE 'idle' END ELSE CASE WHEN o_custkey % 3 > 0 THEN 'ready' ELSE 'idle' END END AS state, count(*) AS n FROM orders GROUP BY 1, 2")
+@query(
+    """SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'signedOut' WHEN o_orderstatus = 'O' THEN CASE WHEN o_custkey % 3 = 0 THEN 'clean' ELSE 'editing' END
+  WHEN o_orderkey % 4 = 0 THEN 'unfinished' WHEN o_orderkey % 4 = 1 THEN 'sent' ELSE 'decided' END AS state, count(*) AS n FROM orders GROUP BY 1"""
+)
 def submission_states(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders")
-    pull = F.when(F.col("o_orderkey") % 4 == 1, "merged").when(F.col("o_orderkey") % 4 == 2, "open")
-    state = incremental.submission_state(F.when(F.col("o_orderstatus") != "O", F.col("o_orderstatus")), F.col("o_custkey") % 3, pull)
-    return rows.select(F.col("o_orderstatus").alias("branch"), state.alias("state")).groupBy("branch", "state").agg(F.count("*").alias("n"))
+    pull = F.when(F.col("o_orderkey") % 4 == 1, "open").when(F.col("o_orderkey") % 4 > 1, "closed")
+    state = incremental.submission_state(F.col("o_orderkey") % 5 != 0, F.col("o_orderstatus") != "O", F.col("o_custkey") % 3, pull)
+    return table(spark, sf_dir, "orders").groupBy(state.alias("state")).agg(F.count("*").alias("n"))
 
 
 ALL = _TEXT | QUERIES

@@ -64,12 +64,19 @@ def structural(before: DataFrame, now: DataFrame, key: str) -> DataFrame:
     return a.join(b, key, "full").filter(F.col("c0").isNull() | F.col("c1").isNull() | ~same).select(key)
 
 
-def submission_state(branch: Column, changes: Column, pull: Column) -> Column:
-    """Where a contribution stands, from its branch, number of changes and pull request state."""
-    return (
-        F.when(pull == "merged", "merged").when(pull == "open", F.when(changes > 0, "updating").otherwise("in-review"))
-        .when(branch.isNull(), F.when(changes > 0, "drafting").otherwise("idle")).otherwise(F.when(changes > 0, "ready").otherwise("idle"))
-    )
+def submission_state(signed_in: Column, on_submission: Column, changes: Column, pull: Column) -> Column:
+    """Where a contribution stands: signedOut, clean, editing, unfinished, sent or decided; pull is null, open or closed."""
+    own = F.when(changes == 0, "clean").otherwise("editing")
+    return F.when(~signed_in, "signedOut").when(~on_submission, own).when(pull.isNull(), "unfinished").when(pull == "open", "sent").otherwise("decided")
+
+
+def pending_writes(queue: DataFrame) -> DataFrame:
+    """What a queue of writes (seq, kind, path) comes to: a full write stands for all before it, and of each
+    path the last operation counts; a dictionary write is one."""
+    full = queue.filter("kind = 'full'").agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("_full"))
+    after = queue.crossJoin(F.broadcast(full)).filter(F.col("seq") >= F.col("_full"))  # one row
+    target = F.when(F.col("kind") == "full", "*").when(F.col("kind") == "dictionary", "dictionary").otherwise(F.col("path"))
+    return after.groupBy(target.alias("target")).agg(F.max_by("kind", "seq").alias("kind"), F.max("seq").alias("seq"))
 
 
 def fold_stream(stream: DataFrame, target: str, fold: Callable[[DataFrame, DataFrame | None], DataFrame], checkpoint: str):
