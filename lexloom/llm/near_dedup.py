@@ -14,9 +14,11 @@ is compared with every member of another class; the links' components become the
 the centre leaves its group, and groups of one class are done. So every pair of a group is
 compared or already of one class. Each later round draws twice as many centres, so groups
 end within a few rounds. Groups that after REFINE_AFTER rounds still hold more than LARGE
-members of different classes (documents with one long passage in common, say) are not
-compared on: their members get longer signatures and bands of FINE_ROWS coordinates, which
-part documents below the threshold far better, and go on in those groups.
+members of different classes (a family of copies with ever more edits, say) are not compared
+on: their members go on in groups by prefix filtering, which loses no link. Elements are
+ordered by the number of these documents that have them; two documents at the threshold share
+one of the rarest 20 % (and one) of each, and at the first they share enough elements must be
+left in both. Edits are rare elements, so documents far from their family meet nobody.
 Comparisons are exact: the two element sets, 40 bits an element, are intersected.
 
 Documents with equal shingle counts are one from the start. Documents of one to four words
@@ -33,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.llm.components import components
@@ -44,10 +46,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 16, 4
 MARGIN = 4.0
-FINE_BANDS, FINE_ROWS = 80, 10
 REFINE_AFTER, LARGE = 2, 16
-#: Darts that are thrown at once, about.
-DARTS = 1_500_000
 LAST = 2**63 - 1
 
 _UNIT = np.uint64(0x9FB21C651E98DF25)
@@ -144,16 +143,23 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(contents, pa.binary()), pa.array(weight), bands], ["key", "content", "weight", "bands"])
 
 
-def _fine_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    k = FINE_BANDS * FINE_ROWS
-    step = max(1, int(DARTS / (k * (np.log(k) + MARGIN))))
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, step):
-            part = batch.slice(at, step)
-            sets = [_units(x) for x in part.column(1).to_pylist()]
-            row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-            signatures = dart_sketches(row, mix(np.concatenate(sets)), len(sets), k)
-            yield pa.RecordBatch.from_arrays([part.column(0), _lists(band_names(signatures, FINE_BANDS, FINE_ROWS))], ["id", "bands"])
+        sets = [_units(x) for x in batch.column(1).to_pylist()]
+        sizes = np.array([len(x) for x in sets], np.int64)
+        row = np.repeat(np.arange(len(sets)), sizes)
+        flat = np.concatenate(sets).astype(np.int64) if sets else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(flat), pa.array(sizes[row])], ["id", "band", "n"])
+
+
+def _prefixes(sets: DataFrame, ids: DataFrame, threshold: float, stage: Stage) -> DataFrame:
+    """band (an element), id, place of the element from the rarest on, and n elements, for the prefixes of ids' sets."""
+    units = stage.write(sets.join(ids, "id", "left_semi").mapInArrow(_exploded, "id long, band long, n long"), "units")
+    n_units = units.count()
+    df = units.groupBy("band").agg(F.count("*").alias("df"))
+    placed = attach(units, df, "band", "df", n_units).withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("df", "band")))
+    prefix = placed.filter((F.col("place") <= F.col("n") - F.ceil(F.lit(threshold - 1e-9) * F.col("n")) + 1) & (F.col("df") > 1))
+    return prefix.select("band", "id", F.col("place").cast("long").alias("place"), "n")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,6 +207,31 @@ def _compare(pairs: DataFrame, sets: DataFrame, threshold: float, stage: Stage,
     return stage.write(_verify(threshold)(rows), f"{name}-links")
 
 
+def _may_link(threshold: float):
+    """Whether a member's centre is of another class and, in groups by element, leaves both enough elements to share."""
+
+    def test(c: Column) -> Column:
+        need = F.ceil(F.lit(threshold / (1 + threshold) - 1e-9) * (F.col("n") + c["n"]))
+        left = 1 + F.least(F.col("n") - F.col("place"), c["n"] - c["place"])
+        return (c["cls"] != F.col("cls")) & F.coalesce(left >= need, F.lit(True))
+
+    return test
+
+
+def _joined_classes(labels: DataFrame | None, found: DataFrame, stage: Stage, name: str, n_rows: int) -> DataFrame:
+    """node and label after new links: only the classes that they join are solved anew."""
+    if labels is None:
+        return components(found, stage, name)
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+    ends = found.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    moved = components(ends, stage, name)
+    sizes = labels.groupBy("label").agg(F.count("*").alias("held"))
+    moves = moved.select(F.col("node").alias("label"), F.col("label").alias("to")).join(sizes, "label")
+    stay = labels.join(moves.select("label"), "label", "left_anti").select("node", "label")
+    new = moved.join(labels.select("node"), "node", "left_anti").select("node", "label")
+    return stage.write(attach(labels, moves, "label", "held", n_rows).select("node", F.col("to").alias("label")).unionByName(stay).unionByName(new), f"{name}-joined")
+
+
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (the class's smallest doc_id), class_size, kept (its own class_id) and n_shingles of every row."""
     spark = docs.sparkSession
@@ -213,10 +244,11 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     groups = stage.write(worded.groupBy("content").agg(F.count("*").alias("size"), F.min("key").alias("rep"), F.first("bands").alias("bands")), "groups")
     banded = groups.select(F.explode("bands").alias("band"), F.col("rep").alias("id"))
     shared = banded.groupBy("band").agg(F.count("*").alias("held")).filter("held > 1")
-    members = stage.write(attach(banded, shared, "band", "held", n_rows).select("band", "id"), "members-0")
+    no = F.lit(None).cast("long")
+    members = stage.write(attach(banded, shared, "band", "held", n_rows).select("band", "id", no.alias("place"), no.alias("n")), "members-0")
     suspects = members.select(F.col("id").alias("key")).distinct()
     sets = stage.write(texts.join(suspects, "key").mapInArrow(_sets, "id long, units binary").dropDuplicates(["id"]), "sets")
-    links, labels, k = None, None, 0
+    labels, k = None, 0
     while not members.isEmpty():
         if labels is None:
             classed = members.withColumn("cls", F.col("id"))
@@ -228,24 +260,20 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         open_rows = stage.write(attach(classed, state.select("band", "held", "first"), "band", "held", n_rows), f"open-{k}")
         if k == REFINE_AFTER:
             large = open_rows.filter(F.col("held") > LARGE).select("id").distinct()
-            fine = sets.join(large, "id", "left_semi").mapInArrow(_fine_sketch, "id long, bands array<long>").select(F.explode("bands").alias("band"), "id")
-            fine = stage.write(fine, "fine")
-            twice = fine.groupBy("band").agg(F.count("*").alias("held")).filter("held > 1")
-            fine = attach(fine, twice, "band", "held", n_rows).select("band", "id")
-            members = stage.write(open_rows.filter(F.col("held") <= LARGE).select("band", "id").unionByName(fine), f"members-{k}-fine")
+            small_groups = open_rows.filter(F.col("held") <= LARGE).select("band", "id", "place", "n")
+            members = stage.write(small_groups.unionByName(_prefixes(sets, large, threshold, stage)), f"members-{k}-fine")
             k += 1
             continue
         # the first by hash, and each other member with a chance that makes 2**k centres on average
         centre = (F.col("id") == F.col("first.id")) | (F.pmod(F.xxhash64("id", "band", F.lit(k + 1000)), F.col("held")) < 2**k - 1)
         marked = stage.write(open_rows.withColumn("is_centre", centre).drop("first"), f"marked-{k}")
-        centres = marked.filter("is_centre").groupBy("band").agg(F.first("held").alias("held"), F.collect_list(F.struct("id", "cls")).alias("centres"))
-        met = attach(marked.drop("held"), centres, "band", "held", n_rows).select("id", "cls", F.explode(F.filter("centres", lambda c: c["cls"] != F.col("cls"))).alias("c"))
+        centres = marked.filter("is_centre").groupBy("band").agg(F.first("held").alias("held"), F.collect_list(F.struct("id", "cls", "place", "n")).alias("centres"))
+        met = attach(marked.drop("held"), centres, "band", "held", n_rows).select("id", F.explode(F.filter("centres", _may_link(threshold))).alias("c"))
         pairs = met.select(F.col("id").alias("member"), F.col("c.id").alias("centre")).distinct()
         found = _compare(pairs, sets, threshold, stage, f"round-{k}").select("a", "b")
         if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            labels = components(links, stage, f"classes-{k}")
-        members = stage.write(marked.filter(~F.col("is_centre")).select("band", "id"), f"members-{k + 1}")
+            labels = _joined_classes(labels, found, stage, f"classes-{k}", n_rows)
+        members = stage.write(marked.filter(~F.col("is_centre")).select("band", "id", "place", "n"), f"members-{k + 1}")
         k += 1
     content = groups.select("content", "size", F.col("rep").alias("node"))
     if labels is not None:
