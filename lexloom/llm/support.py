@@ -42,10 +42,10 @@ def prepare(spark: SparkSession) -> None:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or one of our own where unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_lexloom_dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="lexloom-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = sc._lexloom_dir = "file://" + tempfile.mkdtemp(prefix="lexloom-checkpoint-")
     return base.rstrip("/")
 
 

@@ -82,6 +82,20 @@ def test_near_dedup_against_all_pairs(spark):
     assert len({c for c, _ in want.values()}) < len(want) - 5
 
 
+def test_near_dedup_of_a_family_with_ever_more_edits(spark):
+    rnd = random.Random(12)
+    base = [f"w{rnd.randrange(10_000)}" for _ in range(120)]
+    rows = []
+    for k in range(90):
+        text = list(base)
+        for _ in range(rnd.randint(0, 9)):
+            text[rnd.randrange(len(text))] = f"x{rnd.randrange(10**9)}"
+        rows.append((k, " ".join(text), "en", "s", 0))
+    want = brute_classes(rows)
+    assert {r.doc_id: (r.class_id, r.class_size) for r in near_dedup.near_classes(frame(spark, rows)).collect()} == want
+    assert len(set(want.values())) > 20
+
+
 def test_near_dedup_empty(spark):
     assert near_dedup.near_classes(frame(spark, [])).count() == 0
 
