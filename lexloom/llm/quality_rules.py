@@ -41,8 +41,8 @@ STEPS = 3
 MIN_GROUP = 50
 #: Fixed values for six degrees of freedom: the chi-square's median and its 0.975 quantile.
 MEDIAN, INNER = 5.348, 14.449
-#: Squared distance beyond which a document is rejected: the quantile of a chance of one in 10**12.
-CUTOFF = 69.0
+#: Squared distance beyond which a document is rejected: the chi-square's quantile of a chance of one in a million.
+CUTOFF = 38.258
 
 _STATS = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, upper double"
 
