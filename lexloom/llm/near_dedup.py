@@ -247,7 +247,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     no = F.lit(None).cast("long")
     members = stage.write(attach(banded, shared, "band", "held", n_rows).select("band", "id", no.alias("place"), no.alias("n")), "members-0")
     suspects = members.select(F.col("id").alias("key")).distinct()
-    sets = stage.write(texts.join(suspects, "key").mapInArrow(_sets, "id long, units binary").dropDuplicates(["id"]), "sets")
+    sets = stage.write(texts.join(suspects, "key").mapInArrow(_sets, "id long, units binary").dropDuplicates(["id"]), "sets", heavy=True)
     labels, k = None, 0
     while not members.isEmpty():
         if labels is None:

@@ -328,11 +328,12 @@ def _solve(docs: DataFrame, with_text: bool) -> DataFrame:
     shared = stage.write(
         texts.mapInArrow(_send_phrases(buckets), _PACK).groupBy("bucket").applyInPandas(_answer_phrases(buckets), "key long, shared binary"),
         "shared",
+        heavy=True,
     )
     owners = rows.filter(F.col("key") == F.col("owner")).select("key").distinct()
     told = shared.groupBy("key").agg(F.collect_list("shared").alias("shared")).join(owners, "key", "left_semi")
-    suspects = stage.write(texts.join(told, "key"), "suspects")
-    first = stage.write(suspects.mapInArrow(_send_windows(buckets), _PACK).groupBy("bucket").applyInPandas(_answer_windows, "key long, first binary"), "first")
+    suspects = stage.write(texts.join(told, "key"), "suspects", heavy=True)
+    first = stage.write(suspects.mapInArrow(_send_windows(buckets), _PACK).groupBy("bucket").applyInPandas(_answer_windows, "key long, first binary"), "first", heavy=True)
     answers = first.groupBy("key").agg(F.collect_list("first").alias("first"))
     solved = suspects.join(answers, "key", "left").select("key", "text", "shared", "first").mapInArrow(
         _remove(buckets, with_text), "key long, n_words long, n_removed long, kept binary" + ", new_text string" * with_text

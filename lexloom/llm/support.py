@@ -6,6 +6,7 @@ import atexit
 import gc
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -56,12 +57,19 @@ class Stage:
         self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(self.close)
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df and return it as read back; shuffle files of its making can then be freed."""
+    def write(self, df: DataFrame, name: str, heavy: bool = False) -> DataFrame:
+        """Write df and return it as read back; shuffle files of its making can then be freed.
+
+        After a heavy one the next step waits until listeners have let go of it, so that they are.
+        """
         path = f"{self.path}/{name}"
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         del df
+        if heavy:
+            time.sleep(0.5)
+            release(self.spark)
+            time.sleep(0.5)
         release(self.spark)
         return out
 
