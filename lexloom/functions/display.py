@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Where an authority's records live.
+#: authorities' names and where their records are.
 AUTHORITIES = {
-    "viaf": "https://viaf.org/viaf/",
-    "wikidata": "https://www.wikidata.org/wiki/",
-    "estc": "https://datb.cerl.org/estc/",
-    "tcp": "https://quod.lib.umich.edu/e/eebo/",
+    "viaf": ("VIAF", "https://viaf.org/viaf/"),
+    "wikidata": ("Wikidata", "https://www.wikidata.org/wiki/"),
+    "estc": ("ESTC", "https://datb.cerl.org/estc/"),
+    "tcp": ("TCP text", "https://github.com/textcreationpartnership/"),
 }
 MARKS = {"person": ("[p:", "]"), "place": ("[l:", "]"), "org": ("[o:", "]"), "citation": ("[", "]")}
 
@@ -30,9 +30,9 @@ def work_doc_id(edition_id: Column, host: Column, work: Column) -> Column:
 
 
 def authority_links(**ids: Column) -> Column:
-    """array<struct<label, url>> of the authorities whose id is given and not empty."""
-    links = [F.struct(F.lit(k).alias("label"), F.concat(F.lit(AUTHORITIES[k]), v).alias("url"), v.alias("id")) for k, v in ids.items()]
-    return F.transform(F.filter(F.array(*links), lambda x: x["id"].isNotNull() & (x["id"] != "")), lambda x: F.struct(x["label"], x["url"]))
+    """array<struct<kind, id, label, url>> of the authorities whose id is given and not empty, in the order given."""
+    links = [F.struct(F.lit(k).alias("kind"), v.alias("id"), F.lit(AUTHORITIES[k][0]).alias("label"), F.concat(F.lit(AUTHORITIES[k][1]), v).alias("url")) for k, v in ids.items()]
+    return F.filter(F.array(*links), lambda x: x["id"].isNotNull() & (x["id"] != ""))
 
 
 def coverage_line(accounted: Column, total: Column) -> Column:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexloom.operators import hover, register, scan
-from lexloom.sources import markit, wire
+from lexloom.sources import marked, wire
 from lexloom.streaming import incremental
 from tests.test_register import entries
 from tests.test_sources import FILES
@@ -47,15 +47,15 @@ def test_targets_and_cascade(spark):
 
 def test_occurrences_with_units(spark):
     blocks = spark.createDataFrame([("p", "s", 0, "it is a priori zzz [p:Zed] to morrow", 1)], "path string, section_id string, block_ordinal int, raw string, start_line int")
-    tokens = markit.tokens_of(blocks)
+    tokens = marked.tokens_of(blocks)
     held = spark.createDataFrame([(w,) for w in ("it", "is", "a priori", "to morrow")], "surface string")
     rows = [(r.surface, r.fuse) for r in scan.occurrences(tokens, held).orderBy("pos").collect()]
     assert rows == [("a", "a priori"), ("priori", "a priori"), ("zzz", None), ("to", "to morrow"), ("morrow", "to morrow")]
 
 
 def test_records_round_trip_and_stamp(spark, tmp_path):
-    parsed = markit.parse_files(spark.createDataFrame(list(FILES.items()), "path string, text string"))
-    tokens = markit.tokens_of(markit.blocks_of(parsed))
+    parsed = marked.parse_files(spark.createDataFrame(list(FILES.items()), "path string, text string"))
+    tokens = marked.tokens_of(marked.blocks_of(parsed))
     bad = spark.createDataFrame([("works/hume/ehu/1748.mit", "r", "m", 3)], "path string, rule string, message string, line int")
     wire.source_records(parsed, tokens, bad, "/here").write.parquet(f"{tmp_path}/records")
     rows = {r.path: r for r in wire.read_records(spark, f"{tmp_path}/records", "/here").collect()}
@@ -65,9 +65,9 @@ def test_records_round_trip_and_stamp(spark, tmp_path):
 
 
 def test_documents_keep_references_that_resolve(spark):
-    parsed = markit.parse_files(spark.createDataFrame([("p", "# A.B.1\n\n{#1}\nx\n\n## one\n\n## <C.D.2>\n\n## <E.F.3>\n")], "path string, text string"))
+    parsed = marked.parse_files(spark.createDataFrame([("p", "# A.B.1\n\n{#1}\nx\n\n## one\n\n## <C.D.2>\n\n## <E.F.3>\n")], "path string, text string"))
     keys = spark.createDataFrame([("c.d.2", "c/d/2")], "doc_id string, doc_key string")
-    nodes = json.loads(wire.documents_json(markit.sections_of(parsed), keys).first().json)
+    nodes = json.loads(wire.documents_json(marked.sections_of(parsed), keys).first().json)
     assert [n.get("id") for n in nodes[:2]] == ["A.B.1", "A.B.1.one"] and nodes[2:] == [{"__ref": "c/d/2"}]
     assert nodes[0]["blocks"][0]["raw"] == "x" and "parent" not in nodes[0]
 
@@ -81,8 +81,8 @@ def test_catalogue_needs_its_documents(spark):
 
 def test_import_report(spark):
     text = "# A.B.1\n\n{#1}\n<<x>>a<</x>> //3// /// ▪\n\n## one\n\n{#2}\nb\n"
-    parsed = markit.parse_files(spark.createDataFrame([("p", text)], "path string, text string"))
-    r = wire.import_report(parsed, markit.sections_of(parsed), parsed).first()
+    parsed = marked.parse_files(spark.createDataFrame([("p", text)], "path string, text string"))
+    r = wire.import_report(parsed, marked.sections_of(parsed), parsed).first()
     assert (r.sections, r.blocks, r.escapes, r.page_markers, r.unread_glyphs, r.diagnostics) == (1, 2, 1, 2, 1, 0)
 
 

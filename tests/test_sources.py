@@ -3,7 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexloom.operators import catalogue, rules
-from lexloom.sources import files, markit
+from lexloom.sources import files, marked
 
 EDITION = """# Hume.EHU.1748
 
@@ -53,12 +53,12 @@ FILES = {
 
 
 def collection(spark):
-    parsed = markit.parse_files(spark.createDataFrame(list(FILES.items()), "path string, text string")).cache()
-    return rules.Collection(parsed, markit.sections_of(parsed), markit.blocks_of(parsed))
+    parsed = marked.parse_files(spark.createDataFrame(list(FILES.items()), "path string, text string")).cache()
+    return rules.Collection(parsed, marked.sections_of(parsed), marked.blocks_of(parsed))
 
 
 def texts(raw):
-    return [t["text"] + (f"/{t['exemption']}" if t["exemption"] else "") + (f"={t['word']}" if t["word"] else "") for t in markit.tokens(raw)]
+    return [t["text"] + (f"/{t['exemption']}" if t["exemption"] else "") + (f"={t['word']}" if t["word"] else "") for t in marked.tokens(raw)]
 
 
 def test_inline_markup():
@@ -82,7 +82,7 @@ def test_sections_and_blocks(spark):
     assert rows["Hume.EHU.1748"].dictionary == {"lay": "lie"}
     blocks = c.blocks.filter("path = 'works/hume/ehu/1748.mit'").orderBy("start_line").collect()
     assert [b.block_id for b in blocks] == ["1", "2", "3"] and blocks[1].metadata == {"speaker": '"Philo"'}
-    rows = markit.tokens_of(c.blocks).filter("word is not null").collect()
+    rows = marked.tokens_of(c.blocks).filter("word is not null").collect()
     assert [(r.text, r.word, r.section_id) for r in rows] == [("lay", "lie", "Hume.EHU.1748.one")]
 
 

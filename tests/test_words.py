@@ -73,4 +73,4 @@ def test_display(spark):
         display.authority_links(viaf=F.lit("12"), estc=F.lit("")).alias("a"), display.coverage_line(F.lit(973), F.lit(1000)).alias("c"), display.coverage_line(F.lit(0), F.lit(0)).alias("z"),
     ).first()
     assert row.m == r"[w:to~morrow=a\=b\]]" and row.p == "[p:Will]" and row.l == "$la:cogito$"
-    assert [x.label for x in row.a] == ["viaf"] and row.c == "97.3% of 1000 tokens accounted" and row.z == "no tokens"
+    assert [(x.kind, x.label, x.url) for x in row.a] == [("viaf", "VIAF", "https://viaf.org/viaf/12")] and row.c == "97.3% of 1000 tokens accounted" and row.z == "no tokens"
