@@ -57,7 +57,7 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_classes(_table(spark, sf_dir))
+    return line_dedup.line_classes(_table(spark, sf_dir), min_chars=1)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

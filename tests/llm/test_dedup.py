@@ -195,6 +195,43 @@ def test_line_dedup_against_all_pairs(spark):
     assert line_dedup.line_classes(frame(spark, [])).count() == 0
 
 
+def test_line_dedup_query_links_lines_of_every_length(spark, tmp_path):
+    from lexloom.llm import queries
+
+    rnd = random.Random(14)
+    lines = {"Th the anhely eran.", "Than the anhely eran.", "a", "b", "é", "ab", "cd", "xaby", "a" * 47 + "b", "a" * 47, "naïve 😀", "naive 😀!"}
+    for n in range(1, 50):
+        base = "".join(rnd.choice("abcdefgh é") for _ in range(n)).strip() or "q"
+        for _ in range(4):
+            x = list(base)
+            for _ in range(rnd.randint(0, 3)):
+                x[(i := rnd.randrange(len(x) + 1)) : i + rnd.randint(0, 1)] = rnd.choice([[], ["z"]])
+            lines.add("".join(x).strip() or "r")
+    lines = sorted(lines)
+    frame(spark, [(i, x, "en", "s", len(x)) for i, x in enumerate(lines)]).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.first_doc_id: r for r in queries.op9_line_dedup(spark, str(tmp_path)).collect()}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    near = {i: [j for j, b in enumerate(lines) if i != j and distance(a, b) <= 2] for i, a in enumerate(lines)}
+    assert {i: r.n_links for i, r in found.items()} == {i: len(js) for i, js in near.items()}
+    assert all(found[i].class_id == found[j].class_id for i, js in near.items() for j in js)
+    classes, left = 0, set(near)
+    while left:
+        classes, todo = classes + 1, [left.pop()]
+        while todo:
+            todo += (new := left & set(near[todo.pop()]))
+            left -= new
+    assert len({r.class_id for r in found.values()}) == classes == sum(r.kept for r in found.values())
+
+
 def test_band_distance_equals_levenshtein(spark):
     from pyspark.sql import functions as F
 
