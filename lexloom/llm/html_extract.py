@@ -7,7 +7,8 @@ text and links; the chain labels article blocks. Training pages are made by a ge
 layouts (page_samples), where each block's label is known; nothing of the tables is used.
 
 Within a block character references are decoded, white space becomes one space and ends are
-trimmed; a <br> is white space. Blocks of the article are joined by \\n in page order.
+trimmed; a <br> is white space. A head without an end tag ends where the body's content begins; any other
+hidden element hides nothing when it has no end tag before its parent's. Blocks of the article are joined by \\n in page order.
 
 Defined cases: null or empty html gives an empty text; unclosed and stray tags are read as
 far as they go; repeated rows are extracted each; a null url or page_id stays null.
@@ -39,11 +40,15 @@ BLOCK = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style noscript template head title svg math iframe object canvas audio video".split())
+#: Of those, the ones whose content is read as elements, so that an end tag may be missing; what can stand in a head.
+NESTED = frozenset("svg math object canvas audio video".split())
+IN_HEAD = frozenset("head base link meta title style script noscript template".split())
 #: Elements that a following start tag ends.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 NO_P = BLOCK - {"button", "label", "select", "option", "textarea"}
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)", re.S)
+_MAY_NEST = re.compile(rf"<(?:{'|'.join(sorted(NESTED))})\b", re.I)
 _NAMED = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _WORDS = re.compile(r"[a-z]+")
 
@@ -80,13 +85,40 @@ class _Open:
     hints: frozenset[int] = field(default_factory=frozenset)
 
 
+def _nested_ends(page: str) -> dict[int, int]:
+    """Where each NESTED element ends, by the place of its start tag; those that their parent's end tag leaves open are not in it."""
+    ends: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    at = 0
+    for m in _TAG.finditer(page):
+        name = m[2] or m[5]
+        if m.start() < at or not name:
+            continue
+        tag, closing, rest = name.lower(), m[1] or m[4], m[3] or m[6] or ""
+        if tag in HIDDEN - NESTED - {"head"}:
+            if not closing and not rest.rstrip().endswith("/") and (end := re.compile(rf"</{tag}\b", re.I).search(page, m.end())):
+                at = end.start()
+        elif closing and (tag in NESTED or tag in BLOCK):
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] == tag:
+                    if tag in NESTED:
+                        ends[stack[k][1]] = m.end()
+                    del stack[k:]
+                    break
+        elif (tag in NESTED and not rest.rstrip().endswith("/")) or (tag in BLOCK and tag not in VOID):
+            stack.append((tag, m.start()))
+    return ends
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """All non-blank blocks of a page in order."""
     out: list[Block] = []
     stack: list[_Open] = []
     parts: list[str] = []
     state = {"links": 0, "linked": 0}
-    in_link, hidden, at = 0, "", 0
+    in_link, hidden, at, skip = 0, "", 0, 0
+    until = _nested_ends(page) if _MAY_NEST.search(page) else {}
+    in_head = False
 
     def flush() -> None:
         if parts:
@@ -98,7 +130,9 @@ def leaf_blocks(page: str) -> list[Block]:
         state["links"] = state["linked"] = 0
 
     for m in _TAG.finditer(page):
-        if not hidden and m.start() > at:
+        if m.start() < skip:
+            continue
+        if not hidden and not in_head and m.start() > at:
             piece = page[at : m.start()]
             parts.append(piece)
             if in_link:
@@ -112,13 +146,20 @@ def leaf_blocks(page: str) -> list[Block]:
             if closing and tag == hidden:
                 hidden = ""
             continue
+        if in_head and (tag in ("head", "body", "html") if closing else tag not in IN_HEAD):
+            in_head = False
+        if tag == "head":
+            in_head = not closing and re.compile(r"</head\b", re.I).search(page, at) is not None
+            continue
+        if tag in NESTED:
+            at = skip = max(at, until.get(m.start(), 0))
+            continue
         if tag in HIDDEN:
             if not closing and not rest.rstrip().endswith("/"):
                 hidden = tag
-                if tag in ("script", "style", "title", "iframe", "noscript", "template"):
-                    end = re.compile(rf"</{tag}\b", re.I).search(page, at)
-                    if end is None:
-                        hidden, at = "", (len(page) if tag in ("script", "style", "title") else at)
+                end = re.compile(rf"</{tag}\b", re.I).search(page, at)
+                if end is None:
+                    hidden, at = "", (len(page) if tag in ("script", "style", "title") else at)
             continue
         if tag == "a":
             in_link = 0 if closing else 1

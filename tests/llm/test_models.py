@@ -112,6 +112,18 @@ def test_leaf_blocks_read_broken_pages():
     assert texts("<p>&nbsp;x&#233;&nbsp; y</p>") == ["xé y"]
 
 
+def test_leaf_blocks_read_past_hidden_elements_without_an_end_tag():
+    texts = lambda page: [b.text for b in html_extract.leaf_blocks(page)]
+    assert texts("<html><head><title>t</title><body><article><p>a</p></article>") == ["a"]
+    assert texts("<html><head><title>t</title><style>p{}</style><article><p>a</p></article>") == ["a"]
+    assert texts("<head><script>'<p>'</script>no</head><p>a") == ["a"]
+    for tag in ("svg", "math", "object", "canvas", "audio", "video"):
+        assert texts(f"<article><p>a</p><{tag} src=x><p>b</p></article><p>c</p>") == ["a", "b", "c"]
+        assert texts(f"<div><{tag}></div><p>b</p><div><{tag}><p>no</p></{tag}>c</div>") == ["b", "c"]
+        assert texts(f"<p>a<{tag}>no<{tag}>no</{tag}>no</{tag}>b</p>") == ["ab"]
+        assert texts(f"<p>a<{tag} />b</p>") == ["ab"]
+
+
 def test_extract_handles_all_rows(spark):
     article = "<html><body><nav><ul><li><a href='/'>Home</a></li></ul></nav><article><h1>Title here</h1><p>First line of text.</p><p>Second one.</p></article><footer>&copy; site</footer></body></html>"
     rows = [(1, "u", article), (1, "u", article), (2, None, None), (None, "v", ""), (3, "w", "x" * 50_000)]
