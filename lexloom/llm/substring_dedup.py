@@ -1,27 +1,31 @@
 """Substring dedup by recompression: each word of a 13-word window that starts in an earlier document goes.
 
-Words get names from their bytes. In ROUNDS, every symbol falls left or right by a bit of its
-name, and a left symbol with a right one behind it becomes one symbol, named by the two; only
-symbols up to the round's width take part. Names depend on content alone, so all documents
-name alike and no dictionary is exchanged. A symbol at the left border of a repeat may have
-gone to what stands before it, so equal windows agree on symbol starts from the sum of the
-rounds' widths on (REACH words); a run of one word never pairs with itself, so runs need no
-rule of their own and a repeat may cut them anywhere. The PHRASE words from the first agreed
-start still lie in the window: a window can only repeat if it holds a shared phrase.
-
-1. phrases: each batch of texts sends its phrases, packed by bucket, and buckets answer which
-   are in two documents or more. A phrase that several documents of a batch have is answered
-   there and sent once, so no bucket gets more than one entry for a phrase and batch.
-2. windows: documents with shared phrases name the 13-word windows around them (96 bits); a
-   bucket finds each window's first document and answers that one alone, so an answer's size
-   doesn't depend on how many documents share the window.
-3. words: windows around shared phrases that no answer calls first are covered.
-
-Documents with equal word sequences are one: the smallest doc_id goes through the steps, and
-the others lose all words (13 or more) or none.
+Words get 64-bit names from their bytes, and every round names symbols of symbols: first each
+maximal run of one symbol becomes a symbol named by what is repeated and how often, then every
+symbol falls left or right by a bit of its name and a left one with a right one behind it
+becomes one symbol named by the two. A name is a hash of what it stands for, so all documents,
+tasks and runs name alike: a round needs no exchange of a dictionary, and Spark runs the rounds
+of a batch of documents inside one narrow stage.
+
+Symbols inside a repeat are the same wherever it stands; only those at its borders may have
+grown into their surroundings. In each round a window gives up the runs at both ends, then a
+right symbol at its left end and a left one at its right end; what it keeps follows from its own
+words (`interiors`). So a window has a name of its own: the names of its consistent symbols of
+the highest round that leaves any, with the words at the borders that were given up, each with
+its place (`signatures`). Equal windows have equal names and differing ones don't (64 bits, and
+32 of an anchor beside them).
+
+A window's anchor is the one among its consistent symbols of the first round, in the front
+half, whose name is smallest. The anchor with the PHRASE words it begins reveals repeats: it
+deals windows to buckets, so neighbouring windows go together and a passage's windows meet in a
+few buckets, however often it is copied. A bucket verifies by the windows' names and answers
+with the covered stretches (document, first window, number), one row for each: as many as there
+are repeats, whatever the number of buckets. What a batch of documents has twice is settled
+there: the smallest document's windows go to the buckets, the others' are covered already.
 
 Defined cases: null text has no words; a null doc_id comes after all others; rows with one
-doc_id don't cover each other; documents of under 13 words lose nothing.
+doc_id don't cover each other, and differing texts of one doc_id are told apart by a hash of
+the text; documents of under 13 words lose nothing; repeated rows share what is found.
 """
 
 from __future__ import annotations
@@ -32,341 +36,349 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.support import Stage, attach, free_name, prepare
-from lexloom.llm.words import grams, mix, names, ragged, spans, strings
+from lexloom.llm.support import Stage, free_name, prepare
+from lexloom.llm.words import grams, mix, names, places, ragged, spans, strings
 
 WINDOW = 13
-ROUNDS = (1, 1, 2, 2)
-REACH = sum(ROUNDS)
-PHRASE = WINDOW - REACH
+ROUNDS = 2
+PHRASE = 7
 LAST = 2**63 - 1
 
-#: Words of text for one bucket of phrases or windows.
-BUCKET_WORDS = 2 << 20
-
-_LOW = np.uint64((1 << 40) - 1)
-
-
-def symbol_starts(words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Positions of words at which a symbol starts after all rounds."""
-    name, at = words, np.arange(len(words))
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    width = np.ones(len(words), np.int8)
-    for k, most in enumerate(ROUNDS):
-        if len(name) < 2:
-            break
-        right = (mix(name + np.uint64(0xA24BAED4963EE407 * (k + 1) % 2**64)) & np.uint64(1)).astype(bool)
-        fit = width <= most
-        pair = np.flatnonzero(fit[:-1] & fit[1:] & ~right[:-1] & right[1:] & (doc[:-1] == doc[1:]))
-        name, width = name.copy(), width.copy()
-        name[pair] = mix(name[pair] * np.uint64(0xD6E8FEB86659FD93) ^ name[pair + 1])
-        width[pair] += width[pair + 1]
-        stay = np.ones(len(name), bool)
-        stay[pair + 1] = False
-        name, at, doc, width = name[stay], at[stay], doc[stay], width[stay]
-    return at
-
-
-def phrases(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and names of the phrases of all rows."""
-    name, valid = grams(words, offsets, PHRASE)
-    at = symbol_starts(words, offsets)
-    at = at[valid[at]]
-    return at, name[at]
-
-
-def _cut(values: np.ndarray, n: int) -> bytes:
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n]).tobytes()
-
-
-def _grow(blob: bytes, n: int) -> np.ndarray:
-    raw = np.frombuffer(blob, np.uint8).reshape(-1, n)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :n] = raw
-    return out.view("<u8").ravel()
-
-
-def _runs(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct neighbours of a sorted array and how many each stands for."""
-    first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
-    return doc[first], np.diff(np.r_[first, len(doc)])
-
-
-def _owners(key: np.ndarray, words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Rows with the smallest key among rows of the same words."""
-    first, second = _sequence(words, offsets)
-    order = np.lexsort((key, second, first))
-    same = np.r_[False, (first[order][1:] == first[order][:-1]) & (second[order][1:] == second[order][:-1])]
-    out = np.ones(len(key), bool)
-    out[order[same]] = False
+#: Bytes of text for one bucket of windows, on average.
+BUCKET_BYTES = 16 << 20
+
+_RUN = np.uint64(0xD6E8FEB86659FD93)
+_PAIR = np.uint64(0xA24BAED4963EE407)
+_OFFSET = np.uint64(7)
+
+
+class Symbols:
+    """One round's symbols of all documents of a batch: names, first words, and where in words the last one ends."""
+
+    def __init__(self, name: np.ndarray, at: np.ndarray, row: np.ndarray, n_words: int):
+        self.name, self.at, self.row, self.n_words = name, at, row, n_words
+
+    def ends(self) -> np.ndarray:
+        """First word of each symbol, and the number of words behind the last one."""
+        return np.r_[self.at, self.n_words]
+
+
+def runs_of(s: Symbols) -> tuple[Symbols, np.ndarray]:
+    """Each maximal run of one symbol within a document as one symbol, and the number of the run that each symbol is in."""
+    first = np.ones(len(s.name), bool)
+    first[1:] = (s.name[1:] != s.name[:-1]) | (s.row[1:] != s.row[:-1])
+    head = np.flatnonzero(first)
+    size = np.diff(np.r_[head, len(first)])
+    name = s.name[head]
+    many = size > 1
+    name[many] = mix(name[many] * _RUN ^ mix(size[many].astype(np.uint64)))
+    return Symbols(name, s.at[head], s.row[head], s.n_words), np.cumsum(first) - 1
+
+
+def sides(s: Symbols, k: int) -> np.ndarray:
+    """Whether each symbol is a right one in round k."""
+    return (mix(s.name + np.uint64(int(_PAIR) * (k + 1) % 2**64)) & np.uint64(1)).astype(bool)
+
+
+def pairs_of(s: Symbols, right: np.ndarray) -> tuple[Symbols, np.ndarray]:
+    """Left symbols with right ones behind them as one symbol, and the number of the new symbol that each one is in."""
+    second = np.zeros(len(s.name), bool)
+    second[1:] = ~right[:-1] & right[1:] & (s.row[:-1] == s.row[1:])
+    head = np.flatnonzero(~second)
+    name = s.name[head]
+    pair = np.zeros(len(s.name) + 1, bool)
+    pair[:-1] = second
+    joined = pair[head + 1]
+    name[joined] = mix(mix(name[joined] * _PAIR) ^ s.name[head[joined] + 1])
+    return Symbols(name, s.at[head], s.row[head], s.n_words), np.cumsum(~second) - 1
+
+
+def interiors(words: np.ndarray, row: np.ndarray, starts: np.ndarray) -> list[tuple[Symbols, np.ndarray, np.ndarray]]:
+    """For each round from none on: its symbols and, for the window at each start, the first consistent one and the one behind the last.
+
+    A window that a round leaves without consistent symbols has an empty range there and in all later rounds.
+    """
+    s = Symbols(words, np.arange(len(words)), row, len(words))
+    low, high = starts, starts + WINDOW
+    out = [(s, low, high)]
+    for k in range(ROUNDS):
+        if not len(s.name):
+            out.append((s, low, high))
+            continue
+        open_ = low < high
+        s, run = runs_of(s)
+        top = len(run) - 1
+        low, high = run[np.minimum(low, top)] + 1, run[np.minimum(np.maximum(high - 1, 0), top)]
+        right = sides(s, k)
+        top = len(right) - 1
+        low = low + (open_ & (low < high) & right[np.minimum(low, top)])
+        high = high - (open_ & (low < high) & ~right[np.clip(high - 1, 0, top)])
+        open_ &= low < high
+        s, pair = pairs_of(s, right)
+        low, high = np.where(open_, pair[np.minimum(low, top)], 0), np.where(open_, pair[np.clip(high - 1, 0, top)] + 1, 0)
+        out.append((s, low, high))
     return out
 
 
-def _sequence(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit names of each row's whole word sequence."""
-    lengths = np.diff(offsets)
-    place = (np.arange(len(words)) - np.repeat(offsets[:-1], lengths)).astype(np.uint64)
-    out = []
-    for seed in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
-        sums = np.r_[np.zeros(1, np.uint64), np.cumsum(mix(words ^ mix((place + np.uint64(1)) * np.uint64(seed))))]
-        out.append(sums[offsets[1:]] - sums[offsets[:-1]])
-    return out[0], out[1]
-
-
-def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def signatures(levels: list[tuple[Symbols, np.ndarray, np.ndarray]], starts: np.ndarray) -> np.ndarray:
+    """Each window's name: its consistent symbols of the highest round that leaves any, the words around them, all with their places."""
+    up, down = places(levels[0][0].n_words + 1)
+    sums = []
+    for k, (s, _, _) in enumerate(levels):
+        total = np.zeros(len(s.name) + 1, np.uint64)
+        np.cumsum(mix(s.name + np.uint64(k)) * up[s.at], out=total[1:])
+        sums.append(total)
+    end = starts + WINDOW
+    out = sums[0][end] - sums[0][starts]
+    for k, (s, low, high) in enumerate(levels[1:], 1):
+        has = np.flatnonzero(low < high)
+        if len(has):
+            edge = s.ends()
+            a, b = low[has], high[has]
+            left, behind = edge[a], edge[b]
+            out[has] = sums[0][left] - sums[0][starts[has]] + sums[k][b] - sums[k][a] + sums[0][end[has]] - sums[0][behind]
+    return mix(out * down[starts])
+
+
+def anchors(levels: list[tuple[Symbols, np.ndarray, np.ndarray]], starts: np.ndarray, phrase: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each window's anchor: its first word and a name of the symbol and the phrase that it begins.
+
+    A window without a consistent symbol in its front half takes one of the words there.
+    """
+    words, (first, low, high) = levels[0][0], levels[1]
+    begins = np.zeros(words.n_words + 1, bool)
+    begins[first.at] = True
+    rank = mix(words.name)
+    rank[first.at] = mix(first.name)
+    edge = first.ends()
+    left, behind = np.where(low < high, edge[np.minimum(low, len(edge) - 1)], starts), np.where(low < high, edge[np.minimum(high, len(edge) - 1)], starts)
+    none = np.uint64(2**64 - 1)
+    best, plain = np.full(len(starts), none), np.full(len(starts), none)
+    word_rank = mix(words.name ^ _RUN)
+    for k in range(WINDOW - PHRASE + 1):
+        at = starts + k
+        here = np.where(begins[at] & (at >= left) & (at < behind), rank[at] & ~_OFFSET | np.uint64(k), none)
+        best = np.minimum(best, here)
+        plain = np.minimum(plain, word_rank[at] & ~_OFFSET | np.uint64(k))
+    best = np.where(best == none, plain, best)
+    at = starts + (best & _OFFSET).astype(np.int64)
+    return at, mix(phrase[at] ^ (best & ~_OFFSET))
+
+
+def window_starts(offsets: np.ndarray) -> np.ndarray:
+    """All words at which a window of their document starts."""
+    return ragged(offsets[:-1], np.maximum(np.diff(offsets) - WINDOW + 1, 0))
+
+
+def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     data, offsets = strings(column)
     starts, ends, word_offsets = spans(data, offsets)
-    return data, starts, ends, word_offsets, names(data, starts, ends)
-
+    return data, starts, ends, word_offsets
 
-def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, starts, ends, offsets, words = _words(batch.column(1))
-        first, second = _sequence(words, offsets)
-        raw = data.tobytes()
-        _, bounds = strings(batch.column(1))
-        whole = [hashlib.sha256(b" ".join(raw[a:b].split())).digest() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-        seq = np.stack([first, second], 1).astype("<u8").tobytes()
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(np.diff(offsets)), pa.array([seq[16 * i : 16 * i + 16] for i in range(batch.num_rows)], pa.binary()), pa.array(whole, pa.binary())],
-            ["key", "n_words", "seq", "whole"],
-        )
 
-
-_PACK = "bucket int, several boolean, docs binary, counts binary, items binary"
-_PACK_NAMES = ["bucket", "several", "docs", "counts", "items"]
+def _heads(*columns: np.ndarray) -> np.ndarray:
+    """True at each row of sorted columns that differs from the one before."""
+    out = np.ones(len(columns[0]), bool)
+    if len(out):
+        out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return out
 
 
-def _packed(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()), strict=True)], _PACK_NAMES)
+#: A bucket's rows: documents (key, tag and stretches each), stretches (first window, number of windows, anchor) and the windows' names, if still to be settled.
+_PACK = "bucket int, keys binary, tags binary, stretches binary, first binary, size binary, anchor binary, names binary"
+_PACK_NAMES = [c.split()[0] for c in _PACK.split(", ")]
 
 
-def _pack(bucket: np.ndarray, doc: np.ndarray, item: np.ndarray, several: bool, cut) -> list[tuple]:
-    """A row for each bucket: documents, how many items each has, and the items."""
-    order = np.lexsort((doc, bucket))
-    bucket, doc, item = bucket[order], doc[order], item[order]
-    edges = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket)] if len(bucket) else [0]
+def _pack(bucket: np.ndarray, row: np.ndarray, key: np.ndarray, tag: np.ndarray, first: np.ndarray, size: np.ndarray, anchor: np.ndarray, name: np.ndarray, name_at: np.ndarray) -> list[tuple]:
+    """A row for each bucket of stretches; a stretch's names are the size ones from name_at on, none where name is empty."""
+    order = np.lexsort((first, row, bucket))
+    bucket, row, first, size, anchor = bucket[order], row[order], first[order], size[order], anchor[order]
+    if len(name):
+        name = name[ragged(name_at[order], size)]
+    upto = np.r_[0, np.cumsum(size)]
+    edges = np.r_[np.flatnonzero(_heads(bucket)), len(bucket)]
     rows = []
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        docs, counts = _runs(doc[a:b])
-        rows.append((int(bucket[a]), several, docs.astype("<i8").tobytes(), counts.astype("<i4").tobytes(), cut(item[a:b])))
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        head = np.flatnonzero(_heads(row[a:b]))
+        docs = row[a:b][head]
+        rows.append((
+            int(bucket[a]), key[docs].astype("<i8").tobytes(), tag[docs].astype("<i4").tobytes(), np.diff(np.r_[head, b - a]).astype("<u4").tobytes(),
+            first[a:b].astype("<u4").tobytes(), size[a:b].astype("<u4").tobytes(), anchor[a:b].astype("<u4").tobytes(), name[upto[a] : upto[b]].astype("<u8").tobytes() if len(name) else b"",
+        ))
     return rows
 
 
-def _send_phrases(buckets: int):
+def _send(buckets: int):
+    """Windows of each batch to their buckets; what the batch itself settles goes along by document."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key = batch.column(0).to_numpy(zero_copy_only=False)
-            _, _, _, offsets, words = _words(batch.column(1))
-            at, name = phrases(words, offsets)
-            row = np.searchsorted(offsets, at, "right") - 1
-            keep = (_owners(key, words, offsets) & (np.diff(offsets) >= WINDOW))[row]
-            row, name = row[keep], name[keep]
-            order = np.lexsort((row, name))
-            row, name = row[order], name[order]
-            new = np.r_[True, (name[1:] != name[:-1]) | (row[1:] != row[:-1])] if len(name) else np.zeros(0, bool)
-            row, name = row[new], name[new]  # a phrase once for each document
-            first = np.r_[True, name[1:] != name[:-1]] if len(name) else np.zeros(0, bool)
-            size = np.diff(np.r_[np.flatnonzero(first), len(name)])
-            many = np.repeat(size > 1, size)
-            bucket = ((name >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-            doc = key[row]
-            rows = _pack(bucket[~many], doc[~many], name[~many], False, lambda x: _cut(x & _LOW, 5))
-            rows += _pack(bucket[many & first], doc[many & first], name[many & first], True, lambda x: _cut(x & _LOW, 5))
-            # answered here already: whole names, dealt by document
-            rows += _pack(buckets + (doc[many] % buckets), doc[many], name[many], True, lambda x: _cut(x, 8))
-            yield _packed(rows)
-
-    return run
-
-
-def _answer_phrases(buckets: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        bucket = int(pdf["bucket"].iloc[0])
-        out: list[tuple[np.ndarray, np.ndarray, bytes]] = []
-        if bucket >= buckets:
-            for docs, counts, items in zip(pdf["docs"], pdf["counts"], pdf["items"], strict=True):
-                out.append((np.frombuffer(docs, "<i8"), np.frombuffer(counts, "<i4"), _grow(items, 8) & _LOW | ((_grow(items, 8) >> np.uint64(40)) % np.uint64(buckets)) << np.uint64(40)))
-        else:
-            items = [_grow(x, 5) for x in pdf["items"]]
-            flag = np.repeat(pdf["several"].to_numpy(bool), [len(x) for x in items])
-            doc = np.concatenate([np.repeat(np.frombuffer(d, "<i8"), np.frombuffer(c, "<i4")) for d, c in zip(pdf["docs"], pdf["counts"], strict=True)])
-            item = np.concatenate(items)
-            _, inverse, count = np.unique(item, return_inverse=True, return_counts=True)
-            shared = (count > 1) | (np.bincount(inverse, weights=flag) > 0)
-            hit = shared[inverse] & ~flag
-            hit = np.flatnonzero(hit)
-            hit = hit[np.argsort(doc[hit], kind="stable")]
-            docs, counts = _runs(doc[hit])
-            out.append((docs, counts, item[hit] | np.uint64(bucket) << np.uint64(40)))
-        docs = np.concatenate([d for d, _, _ in out])
-        blobs = [x.astype("<u8").tobytes() for _, c, i in out for x in np.split(i, np.cumsum(c)[:-1])] if len(docs) else []
-        return pd.DataFrame({"key": docs, "shared": blobs})
+            key, tag = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            data, w_starts, w_ends, offsets = _words(batch.column(2))
+            words = names(data, w_starts, w_ends)
+            row = np.repeat(np.arange(len(key)), np.diff(offsets))
+            at = window_starts(offsets)
+            if not len(at):
+                continue
+            levels = interiors(words, row, at)
+            name = signatures(levels, at)
+            phrase, _ = grams(words, offsets, PHRASE)
+            _, anchor = anchors(levels, at, phrase)
+            owner = row[at]
+            order = np.lexsort((key[owner], name))  # a window's smallest document of the batch sends it
+            head = _heads(name[order])
+            least = key[owner[order]][head][np.cumsum(head) - 1]
+            sent = np.zeros(len(at), bool)
+            sent[order] = key[owner[order]] == least
+            i = np.flatnonzero(sent)
+            heads, size = _stretches(at[i], owner[i], anchor[i])
+            code = anchor[i[heads]]
+            rows = _pack(
+                ((code >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), owner[i[heads]], key, tag, (at - offsets[owner])[i[heads]], size, code & np.uint64(0xFFFFFFFF), name[i], heads
+            )
+            i = np.flatnonzero(~sent)
+            if len(i):
+                heads, size = _stretches(at[i], owner[i], None)
+                docs = owner[i[heads]]
+                rows += _pack(np.abs(tag[docs].astype(np.int64)) % buckets, docs, key, tag, (at - offsets[owner])[i[heads]], size, np.zeros(len(heads), np.uint64), name[:0], heads)
+            types = [pa.int32()] + [pa.binary()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], _PACK_NAMES)
 
     return run
 
 
-def _candidates(words: np.ndarray, offsets: np.ndarray, shared: list[bytes], buckets: int) -> np.ndarray:
-    """Starts of the windows that hold a shared phrase of their document."""
-    at, name = phrases(words, offsets)
-    row = np.searchsorted(offsets, at, "right") - 1
-    own = mix((name & _LOW | ((name >> np.uint64(40)) % np.uint64(buckets)) << np.uint64(40)) ^ mix(row.astype(np.uint64)))
-    sizes = np.array([len(x) // 8 for x in shared], np.int64)
-    told = mix(np.frombuffer(b"".join(shared), "<u8") ^ mix(np.repeat(np.arange(len(shared)), sizes).astype(np.uint64)))
-    at, row = at[np.isin(own, told)], row[np.isin(own, told)]
-    step = np.zeros(len(words) + 1, np.int64)
-    np.add.at(step, np.maximum(at - (WINDOW - PHRASE), offsets[row]), 1)
-    np.add.at(step, np.minimum(at + 1, len(words)), -1)
-    near = np.cumsum(step)[:-1] > 0
-    lengths = np.diff(offsets)
-    near[np.repeat(offsets[1:], lengths) - np.arange(len(words)) < WINDOW] = False
-    return np.flatnonzero(near)
-
-
-def _windows(words: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The 96-bit names of windows as two columns of 64 bits, the second with 32 in use."""
-    one, _ = grams(words, offsets, WINDOW)
-    two, _ = grams(mix(words ^ np.uint64(0x2545F4914F6CDD1D)), offsets, WINDOW)
-    return np.stack([one[at], two[at] >> np.uint64(32)], 1)
-
-
-def _cut_windows(x: np.ndarray) -> bytes:
-    return np.concatenate([x[:, :1].astype("<u8").view(np.uint8).reshape(-1, 8), x[:, 1:].astype("<u4").view(np.uint8).reshape(-1, 4)], 1).tobytes()
+def _stretches(at: np.ndarray, owner: np.ndarray, anchor: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Where stretches of neighbouring windows (of one anchor) begin, and how many windows each has."""
+    head = np.ones(len(at), bool)
+    head[1:] = (at[1:] != at[:-1] + 1) | (owner[1:] != owner[:-1])
+    if anchor is not None:
+        head[1:] |= anchor[1:] != anchor[:-1]
+    heads = np.flatnonzero(head)
+    return heads, np.diff(np.r_[heads, len(at)])
+
+
+_COVER = "key long, tag int, first long, size long"
+
+
+def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Covered stretches of a bucket: windows whose name a smaller document has too, and those settled before."""
+
+    def column(name: str, kind: str, rows: pd.DataFrame) -> np.ndarray:
+        return np.frombuffer(b"".join(rows[name]), kind)
+
+    def stretches(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
+        of = column("stretches", "<u4", rows)
+        return np.repeat(column("keys", "<i8", rows), of), np.repeat(column("tags", "<i4", rows), of), column("first", "<u4", rows).astype(np.int64), column("size", "<u4", rows).astype(np.int64)
+
+    settled = pdf["names"].map(len) == 0
+    done = stretches(pdf[settled])
+    rows = pdf[~settled]
+    key, tag, first, size = stretches(rows)
+    window = column("names", "<u8", rows)
+    stretch = np.repeat(np.arange(len(size)), size)
+    anchor = column("anchor", "<u4", rows)[stretch]
+    order = np.lexsort((key[stretch], window, anchor))
+    head = _heads(anchor[order], window[order])
+    sorted_key = key[stretch[order]]
+    covered = np.zeros(len(window), bool)
+    covered[order] = sorted_key > sorted_key[head][np.cumsum(head) - 1] if len(order) else False
+    place = first[stretch] + np.arange(len(window)) - np.repeat(np.cumsum(size) - size, size)
+    i = np.flatnonzero(covered)
+    begin = np.flatnonzero(np.r_[True, (place[i][1:] != place[i][:-1] + 1) | (stretch[i][1:] != stretch[i][:-1])]) if len(i) else np.zeros(0, np.int64)
+    found = stretch[i[begin]]
+    return pd.DataFrame({
+        "key": np.r_[done[0], key[found]], "tag": np.r_[done[1], tag[found]], "first": np.r_[done[2], place[i[begin]]], "size": np.r_[done[3], np.diff(np.r_[begin, len(i)])],
+    })
+
+
+def covered_words(offsets: np.ndarray, covers: pa.Array) -> np.ndarray:
+    """Whether each word lies in a covered window; covers holds each row's list of stretches (first, size) or null."""
+    step = np.zeros(int(offsets[-1]) + 1, np.int64)
+    covers = covers.combine_chunks() if isinstance(covers, pa.ChunkedArray) else covers
+    sizes = np.array(pc.fill_null(pc.list_value_length(covers), 0), np.int64)
+    flat = covers.flatten()
+    if len(flat):
+        first, size = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        begin = np.repeat(offsets[:-1], sizes) + first
+        np.add.at(step, begin, 1)
+        np.add.at(step, begin + size + WINDOW - 1, -1)
+    return np.cumsum(step)[:-1] > 0
+
+
+def _remove(text: int, covers: int, keep: list[int], with_text: bool, n_chars: int | None = None):
+    """Cut covered words; columns by place in the batch. with_text gives new texts (and n_chars), else digests of the kept words."""
 
-
-def _grow_windows(blob: bytes) -> np.ndarray:
-    raw = np.frombuffer(blob, np.uint8).reshape(-1, 12)
-    return np.stack([_grow(np.ascontiguousarray(raw[:, :8]).tobytes(), 8), _grow(np.ascontiguousarray(raw[:, 8:]).tobytes(), 4)], 1)
-
-
-def _send_windows(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key = batch.column(0).to_numpy(zero_copy_only=False)
-            _, _, _, offsets, words = _words(batch.column(1))
-            at = _candidates(words, offsets, [b"".join(x) for x in batch.column(2).to_pylist()], buckets)
-            window, doc = _windows(words, offsets, at), key[np.searchsorted(offsets, at, "right") - 1]
-            order = np.lexsort((doc, window[:, 1], window[:, 0]))
-            window, doc = window[order], doc[order]
-            first = np.r_[True, (window[1:] != window[:-1]).any(1)] if len(doc) else np.zeros(0, bool)
-            window, doc = window[first], doc[first]
-            yield _packed(_pack((mix(window[:, 0]) % np.uint64(buckets)).astype(np.int64), doc, window, False, _cut_windows))
+            data, starts, ends, offsets = _words(batch.column(text))
+            gone = covered_words(offsets, batch.column(covers))
+            n_removed = np.diff(np.r_[0, np.cumsum(gone)][offsets])
+            raw = data.tobytes()
+            _, bounds = strings(batch.column(text))
+            touched = np.flatnonzero(n_removed)
+            if with_text:
+                texts, chars = batch.column(text).to_pylist(), batch.column(n_chars).to_pylist() if n_chars is not None else []
+                for i in touched.tolist():
+                    a, b, lo, hi = offsets[i], offsets[i + 1], bounds[i], bounds[i + 1]
+                    stay = np.ones(hi - lo, bool)
+                    cut = np.flatnonzero(gone[a:b]) + a
+                    until = np.r_[starts[a + 1 : b], hi]  # a word goes with the space behind it
+                    stay[ragged(starts[cut] - lo, until[cut - a] - starts[cut])] = False
+                    texts[i] = data[lo:hi][stay].tobytes().decode()
+                    if n_chars is not None:
+                        chars[i] = len(texts[i])
+                new = {text: texts} | ({n_chars: chars} if n_chars is not None else {})
+                yield pa.RecordBatch.from_arrays([pa.array(new[i], batch.schema.field(i).type) if i in new else batch.column(i) for i in keep], [batch.schema.names[i] for i in keep])
+                continue
+            kept = [hashlib.sha256(b" ".join(raw[a:b].split())).hexdigest() if not n else None for a, b, n in zip(bounds[:-1].tolist(), bounds[1:].tolist(), n_removed.tolist(), strict=True)]
+            for i in touched.tolist():
+                stay = np.flatnonzero(~gone[offsets[i] : offsets[i + 1]]) + offsets[i]
+                kept[i] = hashlib.sha256(b" ".join([raw[s:e] for s, e in zip(starts[stay].tolist(), ends[stay].tolist(), strict=True)])).hexdigest()
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(np.diff(offsets)), pa.array(n_removed), pa.array(kept, pa.string())], [*(batch.schema.names[i] for i in keep), "n_words", "n_removed", "kept_sha256"])
 
     return run
 
 
-def _answer_windows(pdf: pd.DataFrame) -> pd.DataFrame:
-    window = np.concatenate([_grow_windows(x) for x in pdf["items"]])
-    doc = np.concatenate([np.repeat(np.frombuffer(d, "<i8"), np.frombuffer(c, "<i4")) for d, c in zip(pdf["docs"], pdf["counts"], strict=True)])
-    order = np.lexsort((doc, window[:, 1], window[:, 0]))
-    window, doc = window[order], doc[order]
-    first = np.r_[True, (window[1:] != window[:-1]).any(1)]
-    window, doc = window[first], doc[first]
-    order = np.argsort(doc, kind="stable")
-    docs, counts = _runs(doc[order])
-    edges = np.r_[0, np.cumsum(counts)]
-    window = window[order]
-    return pd.DataFrame({"key": docs, "first": [_cut_windows(window[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]})
+def _key(docs: DataFrame) -> Column:
+    return F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST))
 
 
-def _remove(buckets: int, with_text: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, starts, ends, offsets, words = _words(batch.column(1))
-            at = _candidates(words, offsets, [b"".join(x) for x in batch.column(2).to_pylist()], buckets)
-            row = np.searchsorted(offsets, at, "right") - 1
-            window = _windows(words, offsets, at)
-            first = [_grow_windows(b"".join(x or [])) for x in batch.column(3).to_pylist()]
-            told = np.concatenate(first) if first else np.zeros((0, 2), np.uint64)
-            told_row = np.repeat(np.arange(len(first)), [len(x) for x in first])
-            fold = lambda w, r: mix(w[:, 0] ^ mix(w[:, 1] << np.uint64(32) ^ mix(r.astype(np.uint64))))
-            at = at[~np.isin(fold(window, row), fold(told, told_row))]
-            step = np.zeros(len(words) + 1, np.int64)
-            np.add.at(step, at, 1)
-            np.add.at(step, at + WINDOW, -1)
-            covered = np.cumsum(step)[:-1] > 0
-            raw, out, texts = data.tobytes(), [], []
-            _, bounds = strings(batch.column(1))
-            n_removed = np.diff(np.r_[0, np.cumsum(covered)][offsets])
-            for i in range(batch.num_rows):
-                a, b = offsets[i], offsets[i + 1]
-                kept = np.flatnonzero(~covered[a:b]) + a
-                out.append(hashlib.sha256(b" ".join(raw[s:e] for s, e in zip(starts[kept].tolist(), ends[kept].tolist(), strict=True))).digest())
-                if with_text:
-                    stay = np.ones(bounds[i + 1] - bounds[i], bool)
-                    gone = np.flatnonzero(covered[a:b]) + a
-                    until = np.r_[starts[a + 1 : b], bounds[i + 1]]  # a word goes with the space behind it
-                    stay[ragged(starts[gone] - bounds[i], until[gone - a] - starts[gone])] = False
-                    texts.append(data[bounds[i] : bounds[i + 1]][stay].tobytes().decode() if n_removed[i] else None)
-            arrays = [batch.column(0), pa.array(np.diff(offsets)), pa.array(n_removed), pa.array(out, pa.binary())]
-            if with_text:
-                arrays.append(pa.array(texts, pa.string()))
-            yield pa.RecordBatch.from_arrays(arrays, ["key", "n_words", "n_removed", "kept", *["new_text"] * with_text])
-
-    return run
+def _tag(docs: DataFrame) -> Column:
+    return F.hash(docs["text"])
 
 
-def _key(docs: DataFrame):
-    return F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)).alias("key")
-
-
-def _solve(docs: DataFrame, with_text: bool) -> DataFrame:
-    """key, n_words, n_removed, kept (and new_text where words went) of every row."""
-    spark = docs.sparkSession
-    prepare(spark)
-    stage = Stage(spark, "substring-dedup")
-    texts = docs.select(_key(docs), "text")
-    all_rows = stage.write(texts.mapInArrow(_summaries, "key long, n_words long, seq binary, whole binary"), "summaries")
-    n_rows, n_words = all_rows.agg(F.count("*"), F.coalesce(F.sum("n_words"), F.lit(0))).first()
-    buckets = max(16, n_words // BUCKET_WORDS)
-    groups = stage.write(all_rows.groupBy("seq").agg(F.count("*").alias("size"), F.min("key").alias("owner")), "groups")
-    rows = attach(all_rows, groups, "seq", "size", n_rows)
-    shared = stage.write(
-        texts.mapInArrow(_send_phrases(buckets), _PACK).groupBy("bucket").applyInPandas(_answer_phrases(buckets), "key long, shared binary"),
-        "shared",
-        heavy=True,
-    )
-    owners = rows.filter(F.col("key") == F.col("owner")).select("key").distinct()
-    told = shared.groupBy("key").agg(F.collect_list("shared").alias("shared")).join(owners, "key", "left_semi")
-    suspects = stage.write(texts.join(told, "key"), "suspects", heavy=True)
-    first = stage.write(suspects.mapInArrow(_send_windows(buckets), _PACK).groupBy("bucket").applyInPandas(_answer_windows, "key long, first binary"), "first", heavy=True)
-    answers = first.groupBy("key").agg(F.collect_list("first").alias("first"))
-    solved = suspects.join(answers, "key", "left").select("key", "text", "shared", "first").mapInArrow(
-        _remove(buckets, with_text), "key long, n_words long, n_removed long, kept binary" + ", new_text string" * with_text
-    )
-    solved = stage.write(solved, "solved")
-    no_text = [F.lit(None).cast("string").alias("new_text")] * with_text
-    copy = F.col("key") != F.col("owner")
-    gone = copy & (F.col("n_words") >= WINDOW)
-    empty = F.unhex(F.sha2(F.lit(""), 256))
-    copies = rows.filter(copy).select(
-        "key", "n_words", F.when(gone, F.col("n_words")).otherwise(0).cast("long").alias("n_removed"), F.when(gone, empty).otherwise(F.col("whole")).alias("kept"),
-        *[F.when(gone, F.lit("")).alias("new_text")] * with_text,
-    )
-    clean = rows.filter(~copy).join(suspects.select("key").distinct(), "key", "left_anti").select("key", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("whole").alias("kept"), *no_text)
-    return solved.unionByName(copies).unionByName(clean)
+def covers_of(docs: DataFrame, stage: Stage) -> DataFrame:
+    """A row for each text that loses words: key, tag and covers, the stretches of its windows that are covered."""
+    n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(16, n_bytes // BUCKET_BYTES)
+    texts = docs.select(_key(docs).alias("key"), _tag(docs).alias("tag"), docs["text"].cast("string").alias("text"))
+    found = texts.mapInArrow(_send(buckets), _PACK).groupBy("bucket").applyInPandas(_settle, _COVER)
+    return stage.write(found, "covered", heavy=True).groupBy("key", "tag").agg(F.collect_list(F.struct("first", "size")).alias("covers"))
 
 
 def removed_words(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 (of the kept words joined by one space) of every row."""
-    return _solve(docs, False).select(
-        F.when(F.col("key") != LAST, F.col("key")).alias("doc_id"), "n_words", "n_removed", F.lower(F.hex("kept")).alias("kept_sha256")
-    )
+    prepare(docs.sparkSession)
+    stage = Stage(docs.sparkSession, "substring-dedup")
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), _key(docs).alias("key"), _tag(docs).alias("tag"))
+    joined = texts.join(covers_of(docs, stage), ["key", "tag"], "left").select("doc_id", "text", "covers")
+    return joined.mapInArrow(_remove(1, 2, [0], False), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with covered words, and the white space behind them, cut from the text; n_chars follows where it is a column."""
-    key, new_text = free_name(docs, "_key"), free_name(docs, "_new_text")
-    changed = _solve(docs, True).filter("n_removed > 0").groupBy("key").agg(F.min("new_text").alias(new_text)).withColumnRenamed("key", key)
-    out = docs.withColumn(key, _key(docs)).join(changed, key, "left")
-    new = {"text": F.coalesce(new_text, "text")}
-    if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col(new_text).isNotNull(), F.char_length(new_text).cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumns(new).select(*docs.columns)
+    prepare(docs.sparkSession)
+    stage = Stage(docs.sparkSession, "substring-dedup")
+    key, tag, covers = (free_name(docs, x) for x in ("_key", "_tag", "_covers"))
+    found = covers_of(docs, stage).select(F.col("key").alias(key), F.col("tag").alias(tag), F.col("covers").alias(covers))
+    joined = docs.withColumns({key: _key(docs), tag: _tag(docs)}).join(found, [key, tag], "left").select(*docs.columns, covers)
+    n_chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    cut = _remove(docs.columns.index("text"), len(docs.columns), list(range(len(docs.columns))), True, n_chars)
+    return joined.mapInArrow(cut, docs.schema)
 
 
 ORACLE_SQL = r"""

@@ -94,6 +94,11 @@ def names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return mix(out + np.uint64(1))
 
 
+def places(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors of n places and their inverses: sums of names times factors don't mix up places."""
+    return _power("up", _BASE, n), _power("down", _INVERSE, n)
+
+
 def grams(words: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Names of all runs of n words within a row, and for each position whether one starts there.
 

@@ -18,7 +18,7 @@ def prose(rnd: random.Random, n: int) -> str:
     return "\n".join(lines + ([" ".join(line) + "."] if line else []))
 
 
-def corpus(seed: int = 1, n: int = 40) -> list[tuple]:
+def sample_rows(seed: int = 1, n: int = 40) -> list[tuple]:
     """Prose with exact copies, copies in other white space, near copies and shared passages."""
     rnd = random.Random(seed)
     texts = [prose(rnd, rnd.randint(60, 160)) for _ in range(n)]

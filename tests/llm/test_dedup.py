@@ -8,7 +8,7 @@ import re
 import numpy as np
 
 from lexloom.llm import exact_dedup, fuse_filter, line_dedup, near_dedup, substring_dedup, words
-from tests.llm.fixtures import corpus, frame, odd_rows, same
+from tests.llm.fixtures import frame, odd_rows, same, sample_rows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LAST = 2**63 - 1
@@ -38,16 +38,16 @@ def brute_exact(rows):
 
 
 def test_exact_dedup(spark):
-    rows = corpus() + odd_rows()
+    rows = sample_rows() + odd_rows()
     same(exact_dedup.dedup(frame(spark, rows, clash=True)).collect(), brute_exact(rows))
     assert exact_dedup.dedup(frame(spark, [])).count() == 0
 
 
 def test_exact_dedup_kept_documents_keep_columns(spark):
-    docs = frame(spark, corpus(), clash=True)
+    docs = frame(spark, sample_rows(), clash=True)
     kept = exact_dedup.kept_documents(docs)
     assert kept.columns == docs.columns
-    assert {r.doc_id for r in kept.collect()} == {r[0] for r in brute_exact(corpus()) if r[3]}
+    assert {r.doc_id for r in kept.collect()} == {r[0] for r in brute_exact(sample_rows()) if r[3]}
 
 
 def brute_classes(rows, threshold=0.8):
@@ -75,7 +75,7 @@ def brute_classes(rows, threshold=0.8):
 
 
 def test_near_dedup_against_all_pairs(spark):
-    rows = [r for r in corpus(n=30) + odd_rows() if r[0] != 4 or r[0] is None]
+    rows = [r for r in sample_rows(n=30) + odd_rows() if r[0] != 4 or r[0] is None]
     found = {r.doc_id: (r.class_id, r.class_size) for r in near_dedup.near_classes(frame(spark, rows, clash=True)).collect() if r.doc_id is not None}
     want = brute_classes(rows)
     assert found == want
@@ -125,7 +125,7 @@ def brute_substring(rows):
 
 def test_substring_dedup_against_all_windows(spark):
     rnd = random.Random(9)
-    rows = corpus(2) + odd_rows()
+    rows = sample_rows(2) + odd_rows()
     small = ["a", "b", "a a a", "c"]
     rows += [(1000 + k, " ".join(rnd.choice(small) for _ in range(rnd.randint(0, 60))), "en", "src0", 0) for k in range(60)]
     same(substring_dedup.removed_words(frame(spark, rows, clash=True)).collect(), brute_substring(rows))
@@ -133,7 +133,7 @@ def test_substring_dedup_against_all_windows(spark):
 
 
 def test_substring_dedup_texts(spark):
-    rows = corpus(2)
+    rows = sample_rows(2)
     docs = frame(spark, rows, clash=True)
     out = substring_dedup.without_repeats(docs)
     assert out.columns == docs.columns
@@ -143,20 +143,43 @@ def test_substring_dedup_texts(spark):
         assert r.n_chars == len(r.text)
 
 
-def test_phrases_of_equal_windows_agree():
+def _named(text):
+    """Names and anchors of all windows of one text of word names."""
+    offsets = np.array([0, len(text)])
+    at = substring_dedup.window_starts(offsets)
+    levels = substring_dedup.interiors(text, np.zeros(len(text), np.int64), at)
+    anchor_at, anchor = substring_dedup.anchors(levels, at, words.grams(text, offsets, substring_dedup.PHRASE)[0])
+    assert ((anchor_at >= at) & (anchor_at + substring_dedup.PHRASE <= at + substring_dedup.WINDOW)).all()
+    return substring_dedup.signatures(levels, at), anchor, levels
+
+
+def test_windows_have_the_name_and_anchor_of_their_words_alone():
     rnd = np.random.default_rng(1)
-    pool = rnd.integers(0, 2**63, 6).astype(np.uint64)
-    for _ in range(200):
-        window = rnd.choice(pool, 13)
-        held = []
-        for _ in range(2):
-            text = np.r_[rnd.choice(pool, rnd.integers(0, 9)), window, rnd.choice(pool, rnd.integers(0, 9))]
-            at, name = substring_dedup.phrases(text, np.array([0, len(text)]))
-            grams, _ = words.grams(text, np.array([0, len(text)]), 13)
-            own, _ = words.grams(window, np.array([0, 13]), 13)
-            starts = np.flatnonzero(grams == own[0])
-            held.append({int(n) for a, n in zip(at, name, strict=True) if any(s <= a and a + substring_dedup.PHRASE <= s + 13 for s in starts)})
-        assert held[0] & held[1]
+    for size in (1, 2, 3, 6, 500):
+        pool = rnd.integers(0, 2**63, size).astype(np.uint64)
+        told, deepest = {}, 0
+        for _ in range(150):
+            window = rnd.choice(pool, 13)
+            for _ in range(3):
+                text = np.r_[rnd.choice(pool, rnd.integers(0, 9)), window, rnd.choice(pool, rnd.integers(0, 9))]
+                name, anchor, levels = _named(text)
+                deepest = max(deepest, sum(bool((low < high).any()) for _, low, high in levels))
+                for k in range(len(text) - 12):
+                    told.setdefault(tuple(text[k : k + 13].tolist()), set()).add((int(name[k]), int(anchor[k])))
+        assert all(len(x) == 1 for x in told.values())
+        assert len({x for s in told.values() for x, _ in s}) == len(told)
+        assert deepest == (3 if size > 3 else deepest)
+
+
+def test_substring_dedup_of_null_and_repeated_ids(spark):
+    rnd = random.Random(3)
+    passage, other = (" ".join(f"p{rnd.randrange(10**6)}" for _ in range(40)) for _ in range(2))
+    rows = [(5, passage, "en", "s", 0), (5, f"x {other}", "en", "s", 0), (5, f"x {other}", "en", "s", 0), (None, f"a b {passage}", "en", "s", 0), (None, f"c {other} d", "en", "s", 0), (None, "short", "en", "s", 0)]
+    rows += [(2, other[:200], "en", "s", 0)] + [(100 + k, passage, "en", "s", 0) for k in range(50)]
+    docs = frame(spark, rows)
+    same(substring_dedup.removed_words(docs).collect(), brute_substring(rows))
+    texts = collections.Counter((r.doc_id, sha(" ".join(WORD.findall(r.text)))) for r in substring_dedup.without_repeats(docs).collect())
+    assert texts == collections.Counter((r[0], r[3]) for r in brute_substring(rows))
 
 
 def _near_lines(rnd):
@@ -252,6 +275,6 @@ def test_band_distance_equals_levenshtein(spark):
 
 
 def test_line_dedup_plan_is_native(spark, capsys):
-    df = line_dedup.line_classes(frame(spark, corpus()))
+    df = line_dedup.line_classes(frame(spark, sample_rows()))
     df.explain()
     assert not re.search("Python|Arrow|Pandas", capsys.readouterr().out)

@@ -9,7 +9,7 @@ import pytest
 
 from lexloom.llm import html_extract, quality_classifier
 from lexloom.llm.crf import ChainCRF, fit
-from tests.llm.fixtures import SCHEMA, corpus, frame, odd_rows, prose
+from tests.llm.fixtures import SCHEMA, frame, odd_rows, prose, sample_rows
 
 
 def test_crf_against_all_paths():
@@ -79,7 +79,7 @@ def test_classifier_ignores_labels_of_held_out_rows(spark, labelled):
 
 def test_classifier_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    assert {r.score for r in quality_classifier.classify(frame(spark, corpus()), none).collect()} == {0.5}
+    assert {r.score for r in quality_classifier.classify(frame(spark, sample_rows()), none).collect()} == {0.5}
     assert quality_classifier.classify(frame(spark, []), none).count() == 0
 
 
@@ -141,7 +141,7 @@ def test_pipeline_against_plain_python(spark, tmp_path):
     from tests.llm.test_dedup import brute_classes, brute_exact, brute_substring, sha
 
     rnd = random.Random(21)
-    rows = corpus(5, 30)
+    rows = sample_rows(5, 30)
     labels = [(r[0], 1, 0) for r in rows]
     for k in range(30):
         text = " ".join(w.upper() + "!!" for w in prose(rnd, 60).split(" "))

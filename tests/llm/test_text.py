@@ -9,7 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from lexloom.llm import packing, quality_rules, token_counts, unigram
-from tests.llm.fixtures import corpus, frame, odd_rows
+from tests.llm.fixtures import frame, odd_rows, sample_rows
 
 ALPHABET = [" ", "  ", "\n", "\t", "a", "B", "é", "ß", " ", " ", "　", "\x1c", "\x85", "1", "٣", "!", "?", "'s", "'LL", "<|endoftext|>", "<|startoftext|>", "漢", "́", "İ", "ΑΣ", "👍", "the", "aaa", "\r\n", "\x00", "<|end", "▁"]
 
@@ -24,7 +24,7 @@ def test_token_counts_equal_the_library(spark):
     counter = token_counts.counter(public_tokenizers.path("byte_bpe_50k.json"))
     for text in noise(4000):
         assert counter.count(text.encode()) == len(library.encode(text, add_special_tokens=False).ids), repr(text)
-    rows = corpus() + odd_rows()
+    rows = sample_rows() + odd_rows()
     want = sorted((r[0] or 0, len((r[1] or "").encode()), len(library.encode(r[1] or "", add_special_tokens=False).ids)) for r in rows)
     found = token_counts.count_tokens(frame(spark, rows, clash=True)).collect()
     assert sorted((r.doc_id or 0, r.n_bytes, r.n_tokens) for r in found) == want
@@ -51,7 +51,7 @@ def test_word_encoder_forgets_within_bounds(monkeypatch):
 
 def test_packing_round_trip(spark):
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    rows = [r for r in corpus() + odd_rows() if r[0] != 4]
+    rows = [r for r in sample_rows() + odd_rows() if r[0] != 4]
     found = packing.pack(frame(spark, rows, clash=True), with_ids=True).collect()
     pieces = {}
     for p in found:
@@ -70,7 +70,7 @@ def test_packing_round_trip(spark):
 
 
 def test_packing_buckets_are_neighbours(spark):
-    found = packing.pack(frame(spark, corpus())).orderBy("sequence_id").collect()
+    found = packing.pack(frame(spark, sample_rows())).orderBy("sequence_id").collect()
     lengths = [p.length for p in found]
     assert lengths == sorted(lengths)
 
@@ -107,7 +107,7 @@ def test_unigram_round_trip(spark, coder):
     for text in noise(1500, 5):
         if "▁" not in text:
             assert coder.decode(coder.encode(text)) == text
-    rows = corpus() + odd_rows()
+    rows = sample_rows() + odd_rows()
     encoded = unigram.encode_documents(frame(spark, rows, clash=True), with_ids=True)
     assert encoded.filter("not round_trip").count() == 0
     texts = sorted((r.doc_id or 0, r.text) for r in unigram.decode_documents(encoded.select("doc_id", "ids")).collect())
@@ -150,7 +150,7 @@ def brute_counts(text):
 
 def test_quality_rules_base_counts(spark):
     rnd = random.Random(3)
-    rows = corpus() + odd_rows()
+    rows = sample_rows() + odd_rows()
     rows += [(500 + k, "".join(rnd.choice(["a", "b ", "é ", "\n", "# ", "x|y ", "\t", "one two three four five six seven eight "]) for _ in range(40)), "en", "s", 0) for k in range(80)]
     found = quality_rules.judge(frame(spark, rows, clash=True)).collect()
     want = sorted((r[0] or 0, *brute_counts(r[1])) for r in rows)
