@@ -2,24 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm.support import Stage, attach
 
 
 def components(edges: DataFrame, stage: Stage, name: str) -> DataFrame:
-    """node and its component's smallest node, for all nodes of edges (a, b).
+    """node and its component's smallest node (label), for all nodes of edges (a, b).
 
-    Each round sends every node to the smallest of its neighbours and itself, and keeps the
-    edges between what the ends were sent to; stars vanish in one round, chains halve.
+    Each round ranks nodes anew by a hash of node and round, sends every node to the first in
+    rank of its neighbours and itself, and keeps the edges between what the ends were sent to.
+    Stars vanish in one round; of any other component, chains in the order of ids among them,
+    about half of the nodes go, so rounds number the logarithm of the largest component.
     """
     edges = stage.write(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges-0")
+    empty = edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
     labels, k = None, 0
-    while not edges.isEmpty():
+    while n_edges := edges.count():
+
+        def ranked(c: str, k: int = k) -> Column:
+            return F.struct(F.xxhash64(c, F.lit(k)).alias("rank"), F.col(c).alias("to"))
+
+        n_rows = 2 * n_edges
         both = edges.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("to")))
-        n_rows = 2 * edges.count()
-        sent = stage.write(both.groupBy("node").agg(F.least(F.min("to"), F.first("node")).alias("to"), F.count("*").alias("degree")), f"{name}-sent-{k}")
+        first = both.groupBy("node").agg(F.min(ranked("to")).alias("first"), F.count("*").alias("degree"))
+        sent = stage.write(first.withColumn("to", F.col("node")).select("node", F.least("first", ranked("to"))["to"].alias("to"), "degree"), f"{name}-sent-{k}")
         if labels is None:
             labels = sent.select("node", F.col("to").alias("label"))
         else:
@@ -35,5 +43,6 @@ def components(edges: DataFrame, stage: Stage, name: str) -> DataFrame:
         edges = stage.write(both_ends.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), f"{name}-edges-{k + 1}")
         k += 1
     if labels is None:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    return labels
+        return empty
+    smallest = stage.write(labels.groupBy("label").agg(F.min("node").alias("least"), F.count("*").alias("held")), f"{name}-least")
+    return attach(labels, smallest, "label", "held", labels.count()).select("node", F.col("least").alias("label"))

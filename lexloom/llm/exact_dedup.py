@@ -4,42 +4,50 @@ Texts are equal when identical after every character of [\\x20\\x09-\\x0D] is de
 counts as empty. A snapshot holds one row per distinct text and, for each bucket of digests,
 one static binary-fuse filter. A new batch is grouped by itself first; its distinct digests
 pass the snapshot's filters, and only those that may be known join the exact bucket, where
-the whole digest, the length in bytes and a second hash of the text are compared.
+digest, length and a second hash must agree. Then the bytes are compared: of each such text
+the snapshot's best row and the batch's are read again, and only texts equal byte by byte are
+one (`same_bytes`). No other text leaves its scan.
 
 Defined cases: no rows give no rows; a null doc_id sorts after all others; rows that repeat
-a doc_id with the same text are each returned, count in group_size and share their verdict;
-other columns, whatever their names, are not read.
+a doc_id with the same text are each returned, count in group_size and share their verdict
+(kept_documents returns one of them); of rows of one doc_id whose texts differ in white space
+alone and are as long, one text stays; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm import fuse_filter
-from lexloom.llm.support import Stage, attach, prepare, with_ids
+from lexloom.llm.support import LAST, Stage, attach, prepare, row_key, row_tag, with_rows
+from lexloom.session import small
 
 #: Distinct digests in one bucket, on average.
 BUCKET_KEYS = 4096
 
 
+def bare_text() -> Column:
+    return F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", "")
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """One narrow row per document: digest, lengths and a second hash; the text stays behind."""
-    bare = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", "")
-    return docs.select("doc_id", F.char_length(F.coalesce("text", F.lit(""))).alias("n_chars"), bare.alias("_bare")).select(
+    return docs.select("doc_id", F.char_length(F.coalesce("text", F.lit(""))).alias("n_chars"), bare_text().alias("_bare"), row_tag(docs).alias("tag")).select(
         "doc_id",
         F.col("n_chars").cast("long").alias("n_chars"),
         F.unhex(F.sha2("_bare", 256)).alias("digest"),
         F.octet_length("_bare").alias("n_bytes"),
         F.xxhash64("_bare").alias("check"),
+        "tag",
     )
 
 
 def grouped(rows: DataFrame) -> DataFrame:
     """The distinct texts of a batch with size and best row; Spark sums per task before the shuffle."""
-    order = F.struct((-F.col("n_chars")).alias("o"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("id"))
+    order = F.struct((-F.col("n_chars")).alias("o"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("id"), F.col("tag").alias("tag"))
     return rows.groupBy("digest", "n_bytes", "check").agg(F.count("*").alias("group_size"), F.min(order).alias("best"))
 
 
@@ -70,19 +78,22 @@ class Snapshot:
 
         return self._keyed(groups).groupBy("bucket").cogroup(self.filters.groupBy("bucket")).applyInPandas(probe, "digest binary")
 
-    def known(self, groups: DataFrame) -> DataFrame:
-        """Groups of a batch whose text the snapshot holds, byte by byte in digest, length and second hash."""
+    def candidates(self, groups: DataFrame) -> DataFrame:
+        """Groups of a batch that the exact bucket holds by digest, length and second hash, with the snapshot's best row as held."""
         maybe = groups.join(self.screen(groups), "digest", "left_semi")
-        return maybe.join(self.groups.select("digest", "n_bytes", "check"), ["digest", "n_bytes", "check"], "left_semi")
+        return maybe.join(self.groups.select("digest", "n_bytes", "check", F.col("best").alias("held")), ["digest", "n_bytes", "check"])
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """Groups of equal texts over a whole table.
+def same_bytes(docs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Digests of candidates whose best rows in batch and snapshot hold the same bytes without white space."""
+    rows = candidates.select("digest", F.explode(F.array("best", "held")).alias("row"))
+    wanted = rows.select("digest", F.coalesce(F.col("row.id").cast("long"), F.lit(LAST)).alias("key"), F.col("row.tag").alias("tag"))
+    texts = docs.select(row_key(docs).alias("key"), row_tag(docs).alias("tag"), "text").join(small(wanted), ["key", "tag"]).select("digest", bare_text().alias("bare"))
+    return texts.groupBy("digest").agg((F.min("bare") == F.max("bare")).alias("equal")).filter("equal").select("digest")
 
-    Half of the rows (by a hash of doc_id) make the first snapshot, the rest come in as a
-    batch. Returns doc_id, keep_id, group_size, kept, text_sha256 for every row; of equal
-    texts the one with most code points stays, then the smallest doc_id.
-    """
+
+def _judged(docs: DataFrame) -> DataFrame:
+    """dedup's rows with a tag, the hash of the whole text."""
     spark = docs.sparkSession
     prepare(spark)
     stage = Stage(spark, "exact-dedup")
@@ -91,23 +102,36 @@ def dedup(docs: DataFrame) -> DataFrame:
     old = stage.write(grouped(rows.filter(~F.col("fresh"))), "old")
     new = stage.write(grouped(rows.filter("fresh")), "new")
     snapshot = Snapshot(old, stage, "snapshot", n_rows)
-    known = stage.write(snapshot.known(new), "known")
+    candidates = stage.write(snapshot.candidates(new), "candidates")
+    known = stage.write(candidates.drop("held").join(same_bytes(docs, candidates), "digest", "left_semi"), "known")
     merged = old.unionByName(known).groupBy("digest", "n_bytes", "check").agg(F.sum("group_size").alias("group_size"), F.min("best").alias("best"))
     unseen = new.join(known.select("digest"), "digest", "left_anti")
     groups = stage.write(merged.unionByName(unseen.select(*merged.columns)).select("digest", "group_size", "best"), "groups")
-    kept = F.col("doc_id").eqNullSafe(F.col("best.id")) & (F.col("n_chars") == -F.col("best.o"))
-    return attach(rows.select("doc_id", "n_chars", "digest"), groups, "digest", "group_size", n_rows).select(
+    kept = F.col("doc_id").eqNullSafe(F.col("best.id")) & (F.col("n_chars") == -F.col("best.o")) & (F.col("tag") == F.col("best.tag"))
+    return attach(rows.select("doc_id", "n_chars", "tag", "digest"), groups, "digest", "group_size", n_rows).select(
         "doc_id",
         F.col("best.id").alias("keep_id"),
         F.col("group_size").cast("long").alias("group_size"),
         kept.alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        "tag",
     )
 
 
+def dedup(docs: DataFrame) -> DataFrame:
+    """Groups of equal texts over a whole table.
+
+    Half of the rows (by a hash of doc_id) make the first snapshot, the rest come in as a
+    batch. Returns doc_id, keep_id, group_size, kept, text_sha256 for every row; of equal
+    texts the one with most code points stays, then the smallest doc_id.
+    """
+    return _judged(docs.select("doc_id", "text")).drop("tag")
+
+
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    return with_ids(docs, dedup(docs.select("doc_id", "text")).filter("kept"))
+    """One row of docs for each distinct text, the one that stays, with all its columns."""
+    kept = _judged(docs.select("doc_id", "text")).filter("kept")
+    return with_rows(docs, kept.select(row_key(kept).alias("key"), "tag"))
 
 
 ORACLE_SQL = r"""

@@ -21,12 +21,17 @@ one of the rarest 20 % (and one) of each, and at the first they share enough ele
 left in both. Edits are rare elements, so documents far from their family meet nobody.
 Comparisons are exact: the two element sets, 40 bits an element, are intersected.
 
-Documents with equal shingle counts are one from the start. Documents of one to four words
+Documents with equal shingle counts are one node from the start, named by a 64-bit hash of those
+counts and not by doc_id, so null and repeated ids mix nothing up. Documents of one to four words
 have the one shingle of all their words; documents without words are classes of their own.
-
-Defined cases: null text has no words; a null doc_id sorts after all others; repeated rows
-are in one class and share the verdict; other columns are not read. Two documents at
-similarity 0.8 share no band with a probability of 0.0003, and more alike ones less.
+A node is one row that holds its bands, or later its elements: classes are looked up once a node
+and go along when its entries are dealt to groups.
+
+Defined cases: null text has no words; a null doc_id sorts after all others, and a class of null
+ids alone has a null class_id; repeated rows are in one class and share the verdict
+(kept_documents returns one of them); rows of one doc_id with different texts are nodes of their
+own, and of those in one class one text is kept; other columns are not read. Two documents at similarity 0.8 share
+no band with a probability of 0.0003, and more alike ones less.
 """
 
 from __future__ import annotations
@@ -39,15 +44,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.llm.components import components
-from lexloom.llm.support import Stage, attach, prepare, with_ids
+from lexloom.llm.support import LAST, Stage, attach, prepare, row_key, row_tag, with_rows
 from lexloom.llm.words import grams, mix, names, spans, strings
+from lexloom.session import small
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 16, 4
 MARGIN = 4.0
 REFINE_AFTER, LARGE = 2, 16
-LAST = 2**63 - 1
 
 _UNIT = np.uint64(0x9FB21C651E98DF25)
 _DART = np.uint64(0xD1342543DE82EF95)
@@ -132,7 +137,7 @@ def _lists(bands: np.ndarray) -> pa.ListArray:
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n = batch.num_rows
-        row, unit = elements(batch.column(1))
+        row, unit = elements(batch.column(2))
         weight = np.bincount(row, minlength=n)
         one, two = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
         np.add.at(one, row, mix(unit ^ _UNIT))
@@ -140,7 +145,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         content = np.stack([one, two], 1).astype("<u8").tobytes()
         contents = [content[16 * i : 16 * i + 16] if w else None for i, w in enumerate(weight.tolist())]
         bands = _lists(band_names(dart_sketches(row, unit, n)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(contents, pa.binary()), pa.array(weight), bands], ["key", "content", "weight", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(contents, pa.binary()), pa.array(weight), bands], ["key", "tag", "content", "weight", "bands"])
 
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,6 +157,11 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(flat), pa.array(sizes[row])], ["id", "band", "n"])
 
 
+def _gathered(members: DataFrame) -> DataFrame:
+    """A row for each node with its entries."""
+    return members.groupBy("id").agg(F.collect_list(F.struct("band", "place", "n")).alias("entries"))
+
+
 def _prefixes(sets: DataFrame, ids: DataFrame, threshold: float, stage: Stage) -> DataFrame:
     """band (an element), id, place of the element from the rarest on, and n elements, for the prefixes of ids' sets."""
     units = stage.write(sets.join(ids, "id", "left_semi").mapInArrow(_exploded, "id long, band long, n long"), "units")
@@ -232,36 +242,38 @@ def _joined_classes(labels: DataFrame | None, found: DataFrame, stage: Stage, na
     return stage.write(attach(labels, moves, "label", "held", n_rows).select("node", F.col("to").alias("label")).unionByName(stay).unionByName(new), f"{name}-joined")
 
 
-def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id (the class's smallest doc_id), class_size, kept (its own class_id) and n_shingles of every row."""
+def _judged(docs: DataFrame, threshold: float) -> DataFrame:
+    """key, tag, class_key (the class's smallest key), class_size, kept and n_shingles of every row."""
     spark = docs.sparkSession
     prepare(spark)
     stage = Stage(spark, "near-dedup")
-    texts = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)).alias("key"), "text")
-    rows = stage.write(texts.mapInArrow(_sketch, "key long, content binary, weight long, bands array<long>"), "sketches")
+    texts = docs.select(row_key(docs).alias("key"), row_tag(docs).alias("tag"), "text")
+    rows = stage.write(texts.mapInArrow(_sketch, "key long, tag long, content binary, weight long, bands array<long>"), "sketches")
     n_rows = rows.count()
     worded = rows.filter(F.col("content").isNotNull())
-    groups = stage.write(worded.groupBy("content").agg(F.count("*").alias("size"), F.min("key").alias("rep"), F.first("bands").alias("bands")), "groups")
-    banded = groups.select(F.explode("bands").alias("band"), F.col("rep").alias("id"))
+    nodes = worded.groupBy("content").agg(F.count("*").alias("size"), F.min(F.struct("key", "tag")).alias("first"), F.first("bands").alias("bands"))
+    nodes = stage.write(nodes.select(F.xxhash64("content").alias("id"), "content", "size", "first", "bands"), "nodes")
+    banded = nodes.select(F.explode("bands").alias("band"), "id")
     shared = banded.groupBy("band").agg(F.count("*").alias("held")).filter("held > 1")
     no = F.lit(None).cast("long")
-    members = stage.write(attach(banded, shared, "band", "held", n_rows).select("band", "id", no.alias("place"), no.alias("n")), "members-0")
-    suspects = members.select(F.col("id").alias("key")).distinct()
-    sets = stage.write(texts.join(suspects, "key").mapInArrow(_sets, "id long, units binary").dropDuplicates(["id"]), "sets", heavy=True)
+    members = attach(banded, shared, "band", "held", n_rows).select("band", "id", no.alias("place"), no.alias("n"))
+    holders = stage.write(_gathered(members), "holders-0")
+    suspects = stage.write(nodes.join(holders.select("id"), "id", "left_semi").select("id", "first.key", "first.tag"), "suspects")
+    sets = stage.write(texts.join(small(suspects), ["key", "tag"]).select("id", "text").mapInArrow(_sets, "id long, units binary").dropDuplicates(["id"]), "sets")
     labels, k = None, 0
-    while not members.isEmpty():
+    while not holders.isEmpty():
         if labels is None:
-            classed = members.withColumn("cls", F.col("id"))
+            classed = holders.withColumn("cls", F.col("id"))
         else:
-            classed = members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("cls", F.coalesce("label", "id")).drop("label")
-        classed = stage.write(classed, f"classed-{k}")
+            classed = holders.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("cls", F.coalesce("label", "id")).drop("label")
+        classed = stage.write(classed.select("id", "cls", F.inline("entries")), f"classed-{k}")
         draw = F.struct(F.xxhash64("id", "band", F.lit(k)).alias("h"), F.col("id").alias("id"), F.col("cls").alias("cls"))
         state = classed.groupBy("band").agg(F.count("*").alias("held"), F.min("cls").alias("low"), F.max("cls").alias("high"), F.min(draw).alias("first")).filter("low <> high")
         open_rows = stage.write(attach(classed, state.select("band", "held", "first"), "band", "held", n_rows), f"open-{k}")
         if k == REFINE_AFTER:
             large = open_rows.filter(F.col("held") > LARGE).select("id").distinct()
             small_groups = open_rows.filter(F.col("held") <= LARGE).select("band", "id", "place", "n")
-            members = stage.write(small_groups.unionByName(_prefixes(sets, large, threshold, stage)), f"members-{k}-fine")
+            holders = stage.write(_gathered(small_groups.unionByName(_prefixes(sets, large, threshold, stage))), f"holders-{k}-fine")
             k += 1
             continue
         # the first by hash, and each other member with a chance that makes 2**k centres on average
@@ -273,24 +285,28 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         found = _compare(pairs, sets, threshold, stage, f"round-{k}").select("a", "b")
         if not found.isEmpty():
             labels = _joined_classes(labels, found, stage, f"classes-{k}", n_rows)
-        members = stage.write(marked.filter(~F.col("is_centre")).select("band", "id", "place", "n"), f"members-{k + 1}")
+        holders = stage.write(_gathered(marked.filter(~F.col("is_centre"))), f"holders-{k + 1}")
         k += 1
-    content = groups.select("content", "size", F.col("rep").alias("node"))
+    content = nodes.select("id", "content", "size", "first")
     if labels is not None:
-        content = content.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        content = content.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     else:
-        content = content.withColumn("label", F.col("node"))
+        content = content.withColumn("label", F.col("id"))
     content = stage.write(content, "content")
-    classes = content.groupBy("label").agg(F.sum("size").alias("class_size"), F.count("*").alias("held"))
-    content = stage.write(attach(content, classes, "label", "held", n_rows).select("content", "size", "label", "class_size"), "classes")
-    out = attach(worded.select("key", "content", "weight"), content, "content", "size", n_rows).select("key", "label", "class_size", "weight")
-    bare = rows.filter(F.col("content").isNull()).select("key", F.col("key").alias("label"), F.lit(1).cast("long").alias("class_size"), "weight")
+    classes = content.groupBy("label").agg(F.sum("size").alias("class_size"), F.count("*").alias("held"), F.min("first").alias("best"))
+    content = stage.write(attach(content, classes, "label", "held", n_rows).select("content", "size", "class_size", "best"), "classes")
+    found = attach(worded.select("key", "tag", "content", "weight"), content, "content", "size", n_rows)
+    out = found.select("key", "tag", F.col("best.key").alias("class_key"), "class_size", (F.struct("key", "tag") == F.col("best")).alias("kept"), F.col("weight").alias("n_shingles"))
+    bare = rows.filter(F.col("content").isNull()).select("key", "tag", F.col("key").alias("class_key"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"), F.col("weight").alias("n_shingles"))
+    return out.unionByName(bare)
+
+
+def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id (the class's smallest doc_id), class_size, kept (the class's first text) and n_shingles of every row."""
     real = lambda c: F.when(F.col(c) != LAST, F.col(c))
-    return out.unionByName(bare).select(
-        real("key").alias("doc_id"), real("label").alias("class_id"), F.col("class_size").cast("long").alias("class_size"), (F.col("key") == F.col("label")).alias("kept"), F.col("weight").alias("n_shingles")
-    )
+    return _judged(docs.select("doc_id", "text"), threshold).select(real("key").alias("doc_id"), real("class_key").alias("class_id"), F.col("class_size").cast("long").alias("class_size"), "kept", "n_shingles")
 
 
 def kept_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One document of each class, the one with the smallest doc_id, with all columns."""
-    return with_ids(docs, near_classes(docs.select("doc_id", "text"), threshold).filter("kept"))
+    """One row of each class, a text of the smallest doc_id, with all columns; documents without words all stay, but for repeated rows."""
+    return with_rows(docs, _judged(docs.select("doc_id", "text"), threshold).filter("kept").select("key", "tag"))

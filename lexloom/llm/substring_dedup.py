@@ -37,16 +37,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.support import Stage, free_name, prepare
+from lexloom.llm.support import Stage, free_name, prepare, row_key, row_tag
 from lexloom.llm.words import grams, mix, names, places, ragged, spans, strings
 
 WINDOW = 13
 ROUNDS = 2
 PHRASE = 7
-LAST = 2**63 - 1
 
 #: Bytes of text for one bucket of windows, on average.
 BUCKET_BYTES = 16 << 20
@@ -206,7 +205,7 @@ def _pack(bucket: np.ndarray, row: np.ndarray, key: np.ndarray, tag: np.ndarray,
         head = np.flatnonzero(_heads(row[a:b]))
         docs = row[a:b][head]
         rows.append((
-            int(bucket[a]), key[docs].astype("<i8").tobytes(), tag[docs].astype("<i4").tobytes(), np.diff(np.r_[head, b - a]).astype("<u4").tobytes(),
+            int(bucket[a]), key[docs].astype("<i8").tobytes(), tag[docs].astype("<i8").tobytes(), np.diff(np.r_[head, b - a]).astype("<u4").tobytes(),
             first[a:b].astype("<u4").tobytes(), size[a:b].astype("<u4").tobytes(), anchor[a:b].astype("<u4").tobytes(), name[upto[a] : upto[b]].astype("<u8").tobytes() if len(name) else b"",
         ))
     return rows
@@ -244,7 +243,7 @@ def _send(buckets: int):
             if len(i):
                 heads, size = _stretches(at[i], owner[i], None)
                 docs = owner[i[heads]]
-                rows += _pack(np.abs(tag[docs].astype(np.int64)) % buckets, docs, key, tag, (at - offsets[owner])[i[heads]], size, np.zeros(len(heads), np.uint64), name[:0], heads)
+                rows += _pack((tag[docs] & 0x7FFFFFFF) % buckets, docs, key, tag, (at - offsets[owner])[i[heads]], size, np.zeros(len(heads), np.uint64), name[:0], heads)
             types = [pa.int32()] + [pa.binary()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], _PACK_NAMES)
 
@@ -261,7 +260,7 @@ def _stretches(at: np.ndarray, owner: np.ndarray, anchor: np.ndarray | None) ->
     return heads, np.diff(np.r_[heads, len(at)])
 
 
-_COVER = "key long, tag int, first long, size long"
+_COVER = "key long, tag long, first long, size long"
 
 
 def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -272,7 +271,7 @@ def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
 
     def stretches(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
         of = column("stretches", "<u4", rows)
-        return np.repeat(column("keys", "<i8", rows), of), np.repeat(column("tags", "<i4", rows), of), column("first", "<u4", rows).astype(np.int64), column("size", "<u4", rows).astype(np.int64)
+        return np.repeat(column("keys", "<i8", rows), of), np.repeat(column("tags", "<i8", rows), of), column("first", "<u4", rows).astype(np.int64), column("size", "<u4", rows).astype(np.int64)
 
     settled = pdf["names"].map(len) == 0
     done = stretches(pdf[settled])
@@ -343,28 +342,20 @@ def _remove(text: int, covers: int, keep: list[int], with_text: bool, n_chars: i
     return run
 
 
-def _key(docs: DataFrame) -> Column:
-    return F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST))
-
-
-def _tag(docs: DataFrame) -> Column:
-    return F.hash(docs["text"])
-
-
 def covers_of(docs: DataFrame, stage: Stage) -> DataFrame:
     """A row for each text that loses words: key, tag and covers, the stretches of its windows that are covered."""
     n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(16, n_bytes // BUCKET_BYTES)
-    texts = docs.select(_key(docs).alias("key"), _tag(docs).alias("tag"), docs["text"].cast("string").alias("text"))
+    texts = docs.select(row_key(docs).alias("key"), row_tag(docs).alias("tag"), docs["text"].cast("string").alias("text"))
     found = texts.mapInArrow(_send(buckets), _PACK).groupBy("bucket").applyInPandas(_settle, _COVER)
-    return stage.write(found, "covered", heavy=True).groupBy("key", "tag").agg(F.collect_list(F.struct("first", "size")).alias("covers"))
+    return stage.write(found, "covered").groupBy("key", "tag").agg(F.collect_list(F.struct("first", "size")).alias("covers"))
 
 
 def removed_words(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 (of the kept words joined by one space) of every row."""
     prepare(docs.sparkSession)
     stage = Stage(docs.sparkSession, "substring-dedup")
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), _key(docs).alias("key"), _tag(docs).alias("tag"))
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), row_key(docs).alias("key"), row_tag(docs).alias("tag"))
     joined = texts.join(covers_of(docs, stage), ["key", "tag"], "left").select("doc_id", "text", "covers")
     return joined.mapInArrow(_remove(1, 2, [0], False), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
@@ -375,7 +366,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     stage = Stage(docs.sparkSession, "substring-dedup")
     key, tag, covers = (free_name(docs, x) for x in ("_key", "_tag", "_covers"))
     found = covers_of(docs, stage).select(F.col("key").alias(key), F.col("tag").alias(tag), F.col("covers").alias(covers))
-    joined = docs.withColumns({key: _key(docs), tag: _tag(docs)}).join(found, [key, tag], "left").select(*docs.columns, covers)
+    joined = docs.withColumns({key: row_key(docs), tag: row_tag(docs)}).join(found, [key, tag], "left").select(*docs.columns, covers)
     n_chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
     cut = _remove(docs.columns.index("text"), len(docs.columns), list(range(len(docs.columns))), True, n_chars)
     return joined.mapInArrow(cut, docs.schema)

@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import os
 import tempfile
-import time
 import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROOT = Path(__file__).resolve().parents[2]
@@ -19,6 +17,12 @@ ROOT = Path(__file__).resolve().parents[2]
 #: At most this many keys can each hold more than 1/HOT_SHARE of the rows.
 HOT_SHARE = 1000
 
+#: The place of null ids in the order of ids.
+LAST = 2**63 - 1
+
+#: Spark's setting that lets shuffle files go with the execution that made them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Rows and bytes of one Arrow batch sent to a Python worker.
 BATCH_ROWS = 2000
 BATCH_BYTES = 8 << 20
@@ -42,10 +46,12 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where unset."""
+    """The folder all executors share: spark.checkpoint.dir; where that is unset, a local master gets a folder of its own."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_lexloom_dir", None)
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
         base = sc._lexloom_dir = "file://" + tempfile.mkdtemp(prefix="lexloom-checkpoint-")
     return base.rstrip("/")
 
@@ -57,21 +63,16 @@ class Stage:
         self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(self.close)
 
-    def write(self, df: DataFrame, name: str, heavy: bool = False) -> DataFrame:
-        """Write df and return it as read back; shuffle files of its making can then be freed.
-
-        After a heavy one the next step waits until listeners have let go of it, so that they are.
-        """
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """Write df and return it as read back; shuffle files of the write go when it ends, for nothing reads them again."""
         path = f"{self.path}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        del df
-        if heavy:
-            time.sleep(0.5)
-            release(self.spark)
-            time.sleep(0.5)
-        release(self.spark)
-        return out
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
         self._delete(f"{self.path}/{name}")
@@ -87,12 +88,6 @@ class Stage:
         p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int) -> DataFrame:
     """Inner join rows with groups, where key is unique in groups and size counts a group's rows.
 
@@ -107,10 +102,25 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int)
     )
 
 
-def with_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of docs whose id is in ids (null matches null); texts are streamed, only ids are hashed."""
-    keys = ids.select(F.col(id_col).alias("_keep")).distinct().hint("shuffle_hash")
-    return docs.join(keys, docs[id_col].eqNullSafe(keys["_keep"]), "left_semi")
+def row_key(docs: DataFrame) -> Column:
+    """doc_id as a long; null ids are one id behind all others."""
+    return F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST))
+
+
+def row_tag(docs: DataFrame) -> Column:
+    """A hash of the text that tells rows of one doc_id apart."""
+    return F.xxhash64(docs["text"])
+
+
+def with_rows(docs: DataFrame, picked: DataFrame) -> DataFrame:
+    """One row of docs, with all its columns, for each key and tag in picked; of rows that repeat both, any one.
+
+    Repeats go in each task first, so they don't meet in the shuffle.
+    """
+    key, tag, rank = (free_name(docs, x) for x in ("_key", "_tag", "_rank"))
+    marked = docs.withColumns({key: row_key(docs), tag: row_tag(docs)})
+    once = marked.withColumn(rank, F.row_number().over(Window.partitionBy(key, tag).orderBy(key))).filter(F.col(rank) == 1)
+    return once.join(picked.select(F.col("key").alias(key), F.col("tag").alias(tag)).distinct(), [key, tag], "left_semi").select(*docs.columns)
 
 
 def free_name(df: DataFrame, name: str) -> str:
