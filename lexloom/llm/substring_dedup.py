@@ -48,7 +48,10 @@ ROUNDS = 2
 PHRASE = 7
 
 #: Bytes of text for one bucket of windows, on average.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
+
+#: Bytes of text whose windows are named at once; a longer document is taken by itself.
+SLICE_BYTES = 3 << 20
 
 _RUN = np.uint64(0xD6E8FEB86659FD93)
 _PAIR = np.uint64(0xA24BAED4963EE407)
@@ -211,11 +214,20 @@ def _pack(bucket: np.ndarray, row: np.ndarray, key: np.ndarray, tag: np.ndarray,
     return rows
 
 
+def _slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of about SLICE_BYTES of text."""
+    _, bounds = strings(batch.column(text))
+    part = bounds[:-1] // SLICE_BYTES
+    edges = np.r_[np.flatnonzero(_heads(part)), len(part)]
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        yield batch.slice(a, b - a)
+
+
 def _send(buckets: int):
-    """Windows of each batch to their buckets; what the batch itself settles goes along by document."""
+    """Windows of each slice of a batch to their buckets; what the slice itself settles goes along by document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole, 2)):
             key, tag = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             data, w_starts, w_ends, offsets = _words(batch.column(2))
             words = names(data, w_starts, w_ends)
