@@ -254,77 +254,94 @@ def test_substring_dedup_of_null_and_repeated_ids(spark):
     assert texts == collections.Counter((r[0], r[3]) for r in brute_substring(rows))
 
 
-def _near_lines(rnd):
-    lines = []
-    for _ in range(30):
-        base = "".join(rnd.choice("abcé de") for _ in range(rnd.randint(45, 90))).strip()
-        lines.append(base)
-        for _ in range(3):
-            x = list(base)
-            for _ in range(rnd.randint(1, 3)):
-                i, kind = rnd.randrange(len(x)), rnd.random()
-                x[i : i + 1] = [x[i], "q"] if kind < 0.33 else [] if kind < 0.66 else ["z"]
-            lines.append("".join(x))
-    return lines
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def edited(rnd, base, edits):
+    x = list(base)
+    for _ in range(edits):
+        i = rnd.randrange(len(x) + 1)
+        x[i : i + rnd.randint(0, 1)] = rnd.choice([[], ["z"], ["q"]])
+    return "".join(x)
+
+
+def check_lines(found, occurrences):
+    """Every row against all pairs: classes are the components, links are true and no more than there are."""
+    lines = sorted(occurrences)
+    assert sum(r.n_rows for r in found) == sum(occurrences.values()) and len(found) == len(lines)
+    near = {i: {j for j, b in enumerate(lines) if i != j and abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2} for i, a in enumerate(lines)}
+    label, left = {}, set(near)
+    while left:
+        first = min(left)
+        todo = [first]
+        left.discard(first)
+        while todo:
+            i = todo.pop()
+            label[i] = first
+            new = left & near[i]
+            left -= new
+            todo += new
+    by_line = {}
+    for r in found:
+        by_line[r.line_id] = r
+    import xxhash
+
+    row = [by_line[xxhash.xxh64(x.encode(), seed=42).intdigest() - (2**64 if xxhash.xxh64(x.encode(), seed=42).intdigest() >= 2**63 else 0)] for x in lines]
+    least = collections.defaultdict(list)
+    for i, r in enumerate(row):
+        least[label[i]].append(r.line_id)
+    assert [r.class_id for r in row] == [min(least[label[i]]) for i in range(len(lines))]
+    assert all(r.kept == (r.class_id == r.line_id) and r.n_chars == len(x) and r.n_rows == occurrences[x] for r, x in zip(row, lines, strict=True))
+    assert all((r.n_links > 0) == bool(near[i]) and r.n_links <= len(near[i]) for i, r in enumerate(row))
+    return row, near
+
+
+def strip(x):
+    return x.strip(" \t\n\x0b\x0c\r")
 
 
 def test_line_dedup_against_all_pairs(spark):
-    lines = _near_lines(random.Random(4))
-    rows = [(i, f" {a}\n\n{b}\t", "en", "s", 0) for i, (a, b) in enumerate(zip(lines, reversed(lines), strict=True))] + odd_rows()
-    found = line_dedup.line_classes(frame(spark, rows, clash=True)).collect()
-    distinct = collections.Counter(y for r in rows for x in (r[1] or "").split("\n") if (y := x.strip(" \t\n\x0b\x0c\r")))
-    assert len(found) == len(distinct) and sum(r.n_rows for r in found) == sum(distinct.values())
-
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            new = [i]
-            for j, y in enumerate(b, 1):
-                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-            row = new
-        return row[-1]
-
-    long_lines = [x for x in distinct if 48 <= len(x) < 200]
-    links = sum(distance(a, b) <= 2 for i, a in enumerate(long_lines) for b in long_lines[:i] if abs(len(a) - len(b)) <= 2)
-    assert sum(r.n_links for r in found) == 2 * links > 0
+    rnd = random.Random(4)
+    lines = {"Th the anhely eran.", "Than the anhely eran.", "a" * 47 + "b", "a" * 47, "naïve 😀", "naive 😀!"}
+    for n in [*range(5, 60, 2), *range(60, 90, 5)]:
+        base = strip("".join(rnd.choice("abcé deghij") for _ in range(n))) or "q"
+        lines |= {strip(edited(rnd, base, rnd.randint(0, 3))) for _ in range(4)} - {""}
+    lines = sorted(lines)
+    rows = [(i, f" {a}\n\n{b}\t\x0b", "en", "s", 0) for i, (a, b) in enumerate(zip(lines, reversed(lines), strict=True))]
+    odd = [r for r in odd_rows() if r[0] != 7]
+    found = line_dedup.line_classes(frame(spark, rows + odd, clash=True)).collect()
+    occurrences = collections.Counter(y for r in rows + odd for x in (r[1] or "").split("\n") if (y := strip(x)))
+    row, near = check_lines(found, occurrences)
+    large = [i for i, x in enumerate(sorted(occurrences)) if len(x) > 6]
+    assert all(row[i].n_links == len(near[i]) for i in large)  # no family here is large
     assert line_dedup.line_classes(frame(spark, [])).count() == 0
 
 
-def test_line_dedup_query_links_lines_of_every_length(spark, tmp_path):
+def test_line_dedup_of_tiny_lines_and_large_families(spark, tmp_path):
     from lexloom.llm import queries
 
     rnd = random.Random(14)
-    lines = {"Th the anhely eran.", "Than the anhely eran.", "a", "b", "é", "ab", "cd", "xaby", "a" * 47 + "b", "a" * 47, "naïve 😀", "naive 😀!"}
-    for n in range(1, 50):
-        base = "".join(rnd.choice("abcdefgh é") for _ in range(n)).strip() or "q"
-        for _ in range(4):
-            x = list(base)
-            for _ in range(rnd.randint(0, 3)):
-                x[(i := rnd.randrange(len(x) + 1)) : i + rnd.randint(0, 1)] = rnd.choice([[], ["z"]])
-            lines.add("".join(x).strip() or "r")
+    lines = {"a", "b", "é", "ab", "cd", "xaby", "😀", "12", "123"} | {f"{k}" for k in range(60)} | {f"n{k}" for k in range(100, 160)}
+    base = "".join(rnd.choice("abcdefgh é") for _ in range(60)).strip()
+    lines |= {strip(edited(rnd, base, rnd.randint(0, 4))) for _ in range(200)}
+    chain = "0" * 45
+    lines |= {"x" * k + "y" * (60 - k) for k in range(0, 61, 2)} | {f"{chain}{k:06d}" for k in range(0, 40)} | {f"{chain}{rnd.randrange(10**6):06d}" for k in range(60)}
     lines = sorted(lines)
     frame(spark, [(i, x, "en", "s", len(x)) for i, x in enumerate(lines)]).write.parquet(f"{tmp_path}/documents.parquet")
-    found = {r.first_doc_id: r for r in queries.op9_line_dedup(spark, str(tmp_path)).collect()}
-
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            new = [i]
-            for j, y in enumerate(b, 1):
-                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-            row = new
-        return row[-1]
-
-    near = {i: [j for j, b in enumerate(lines) if i != j and distance(a, b) <= 2] for i, a in enumerate(lines)}
-    assert {i: r.n_links for i, r in found.items()} == {i: len(js) for i, js in near.items()}
-    assert all(found[i].class_id == found[j].class_id for i, js in near.items() for j in js)
-    classes, left = 0, set(near)
-    while left:
-        classes, todo = classes + 1, [left.pop()]
-        while todo:
-            todo += (new := left & set(near[todo.pop()]))
-            left -= new
-    assert len({r.class_id for r in found.values()}) == classes == sum(r.kept for r in found.values())
+    check_lines(queries.op9_line_dedup(spark, str(tmp_path)).collect(), collections.Counter(lines))
+
+
+def test_line_dedup_of_an_ordered_chain(spark):
+    lines = ["x" * k + "y" * (500 - k) for k in range(0, 500, 2)]
+    found = line_dedup.line_classes(frame(spark, [(i, x, "en", "s", 0) for i, x in enumerate(lines)])).collect()
+    assert len({r.class_id for r in found}) == 1 and sum(r.kept for r in found) == 1
 
 
 def test_band_distance_equals_levenshtein(spark):
