@@ -1,24 +1,31 @@
 """Quality rules: base counts, then a robust outlier verdict for each language and source.
 
 Counts come from one map over the texts. A document's statistics are transformed to a short
-vector; for each group (language and source; small groups join their language, small
-languages join each other) a minimum-covariance-determinant estimate is made by
-concentration steps: the SUBSET share of a group with the smallest distances gives the next
-mean and covariance. Starting values are medians and mean absolute deviations; the last step
-reweights and rescales so that the median distance is the chi-square's. Every step is an
-aggregation over all rows of the group with map-side partial sums, so a group may hold any
-share of the table. Rejected is whatever lies beyond CUTOFF; a deviation counts in units of
-FLOOR at least, so that a statistic that hardly varies doesn't turn small differences into
-outliers.
+vector; each group (language and source) gets a minimum-covariance-determinant estimate. From
+four starts (all rows' moments; medians with quartile spreads; moments of clipped values;
+moments of the rows inside the quartile box) concentration steps run until the determinant no longer falls:
+the SUBSET share of rows with the smallest distances gives the next mean and covariance.
+The start that ends with the least determinant counts; its median distance is put to the chi-square's,
+rows within INNER are taken once more (reweighting), and whatever lies beyond CUTOFF is rejected.
+
+Order statistics are counted in bins (a 32nd of an octave of squared distance, an eighth of
+GRAIN of a statistic), and a subset takes whole bins: so sums of bins decide, which add up in any order
+and in any partitioning. GRAIN squared is added to the diagonal: what a statistic moves by a single count in a
+document of a hundred words or so, so one that hardly varies doesn't turn such counts into outliers.
+
+A group up to LIMIT rows is solved in one task; a larger one by an aggregation over all its rows
+for each step, with the same functions (`partial`, `final`): the route changes, the result
+doesn't. A group below MIN_GROUP judged rows has no estimate of its own; its rows are judged by
+the estimate of their whole language, else of the whole table.
 
 Defined cases: null text has no words and fails the base rule; null lang and source are
-groups of their own; a group below MIN_GROUP rows after joining gives no verdict, so only the
-base rule decides; repeated rows count each.
+values of their own; rows under MIN_WORDS words give no estimate; where the whole table has under MIN_GROUP rows that
+do, only the base rule decides; repeated rows count each.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,17 +41,19 @@ MIN_WORDS = 20
 REPEAT_PERCENT = 30
 WINDOW = 8
 
-VECTOR = ["v0", "v1", "v2", "v3", "v4", "v5"]
-FLOOR = [0.12, 0.25, 0.2, 0.15, 0.05, 0.8]
+VECTOR = ["v0", "v1", "v2", "v3", "v4"]
+P = len(VECTOR)
+GRAIN = np.array([0.08, 0.5, 0.35, 0.1, 0.05])
 SUBSET = 0.75
-STEPS = 3
-MIN_GROUP = 50
-#: Fixed values for six degrees of freedom: the chi-square's median and its 0.975 quantile.
-MEDIAN, INNER = 5.348, 14.449
-#: Squared distance beyond which a document is rejected: the chi-square's quantile of a chance of one in a million.
-CUTOFF = 38.258
+MIN_GROUP = 30
+#: Rows of a group that one task may hold, 40 bytes each; larger groups number a row in a million at most.
+LIMIT = 1_000_000
+#: Fixed values for five degrees of freedom: the chi-square's median and its 0.975 and 0.999 quantiles.
+MEDIAN, INNER, CUTOFF = 4.351, 12.833, 20.515
 
 _STATS = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, upper double"
+_UPPER = np.triu_indices(P)
+_MOMENTS = 1 + P + len(_UPPER[0])
 
 
 def base_counts(column: pa.Array) -> dict[str, np.ndarray]:
@@ -86,93 +95,228 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _vector() -> list[Column]:
+    """Length of words, symbols and repeated lines a hundred words, share of words in repeated windows, share of capitals."""
     words = F.greatest(F.col("n_words"), F.lit(1))
     return [
         F.log1p(F.col("word_chars") / words),
-        F.log1p(10 * F.col("n_symbols") / words),
-        F.sqrt(F.col("n_dup_lines") / (F.col("n_dup_lines") + 20)),
+        F.log1p(100 * F.col("n_symbols") / words),
+        F.log1p(100 * F.col("n_dup_lines") / words),
         F.sqrt(F.col("n_repeat_words") / words),
         F.col("upper"),
-        F.log1p(F.col("n_words")),
     ]
 
 
+def distances(x: np.ndarray, mean: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+    d = x - mean
+    return np.einsum("ij,jk,ik->i", d, inverse, d)
+
+
+def octave(d2: np.ndarray | float) -> np.ndarray:
+    """The bin of a squared distance."""
+    return np.floor(32 * np.log2(np.asarray(d2) + 2.0**-10)).astype(np.int64)
+
+
+def _binned(bins: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bins and the moments (count, sums, sums of products) of their rows."""
+    order = np.argsort(bins, kind="stable")
+    bins, x = bins[order], x[order]
+    if not len(bins):
+        return bins, np.zeros((0, _MOMENTS))
+    head = np.flatnonzero(np.r_[True, bins[1:] != bins[:-1]])
+    rows = np.c_[np.ones(len(x)), x, x[:, _UPPER[0]] * x[:, _UPPER[1]]]
+    return bins[head], np.add.reduceat(rows, head)
+
+
+Question = tuple  # a kind and what it needs
+
+
+def partial(question: Question, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bins and moments of some of a group's rows; those of all parts are summed by bin."""
+    kind, *given = question
+    if kind == "quartiles":
+        bins = np.floor(x / (GRAIN / 8)).astype(np.int64) + (np.arange(P) << 40)
+        bins, n = np.unique(bins, return_counts=True)
+        return bins, np.c_[n, np.zeros((len(n), _MOMENTS - 1))]
+    if kind == "clipped":
+        x = np.clip(x, *given)
+    elif kind == "inside":
+        x = x[((x >= given[0]) & (x <= given[1])).all(1)]
+    bins = octave(distances(x, *given[:2])) if kind in ("closest", "median", "within") else np.zeros(len(x), np.int64)
+    return _binned(bins, x)
+
+
+def moments(total: np.ndarray) -> np.ndarray:
+    """Count, mean and covariance (with GRAIN squared on its diagonal), flat."""
+    n = max(total[0], 1.0)
+    mean = total[1 : 1 + P] / n
+    cov = np.zeros((P, P))
+    cov[_UPPER] = total[1 + P :] / n - np.outer(mean, mean)[_UPPER]
+    cov = np.triu(cov) + np.triu(cov, 1).T + np.diag(GRAIN**2)
+    return np.r_[total[0], mean, cov.ravel()]
+
+
+def final(question: Question, bins: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The answer from a group's summed bins."""
+    kind, *given = question
+    order = np.argsort(bins)
+    bins, rows = bins[order], rows[order]
+    if kind == "quartiles":
+        out = []
+        for j in range(P):
+            mine = (bins + (1 << 39)) >> 40 == j
+            upto = np.cumsum(rows[mine, 0])
+            values = (bins[mine] - (j << 40) + 0.5) * (GRAIN[j] / 8)
+            out.append([values[np.searchsorted(upto, share * upto[-1])] for share in (0.25, 0.5, 0.75)])
+        return np.array(out).T.ravel()
+    if kind == "median":
+        upto = np.cumsum(rows[:, 0])
+        return np.array([2.0 ** ((bins[np.searchsorted(upto, 0.5 * upto[-1])] + 0.5) / 32)])
+    if kind == "closest":
+        upto = np.cumsum(rows[:, 0])
+        rows = rows[: np.searchsorted(upto, np.ceil(given[2] * upto[-1])) + 1]
+    elif kind == "within":
+        rows = rows[bins <= octave(given[2])]
+    return moments(rows.sum(0) if len(rows) else np.zeros(_MOMENTS))
+
+
+def _parts(answer: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Mean, inverse covariance and logarithm of its determinant."""
+    cov = answer[1 + P :].reshape(P, P)
+    return answer[1 : 1 + P], np.linalg.inv(cov), float(np.linalg.slogdet(cov)[1])
+
+
+def estimate() -> Generator[list[Question], list[np.ndarray], tuple[np.ndarray, np.ndarray, float]]:
+    """A group's mean, inverse covariance and scale of distances; asks questions about its rows and is sent the answers."""
+    quartiles, whole = yield [("quartiles",), ("all",)]
+    low, mid, high = quartiles.reshape(3, P)
+    spread = (high - low) / 1.349 + GRAIN
+    clipped, inside = yield [("clipped", mid - 2 * spread, mid + 2 * spread), ("inside", mid - 1.5 * spread, mid + 1.5 * spread)]
+    plain = np.r_[whole[0], mid, np.diag(spread**2).ravel()]
+    best = None
+    open_ = [_parts(a) for a in (whole, plain, clipped, inside if inside[0] > P else plain)]
+    lowest = [np.inf] * len(open_)
+    while open_:
+        answers = yield [("closest", mean, inverse, SUBSET) for mean, inverse, _ in open_]
+        further = []
+        for k, answer in enumerate(answers):
+            mean, inverse, size = _parts(answer)
+            if best is None or size < best[2]:
+                best = mean, inverse, size
+            if size < lowest[k] - 1e-9:
+                further.append(((mean, inverse, size), size))
+        open_, lowest = [x for x, _ in further], [y for _, y in further]
+    mean, inverse, _ = best
+    (median,) = yield [("median", mean, inverse)]
+    (inner,) = yield [("within", mean, inverse, float(median[0]) / MEDIAN * INNER)]
+    mean, inverse, _ = _parts(inner)
+    (median,) = yield [("median", mean, inverse)]
+    return mean, inverse, max(float(median[0]) / MEDIAN, 1.0)
+
+
+def solve(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """The estimate of a group whose rows are at hand."""
+    steps = estimate()
+    try:
+        questions = next(steps)
+        while True:
+            questions = steps.send([final(q, *partial(q, x)) for q in questions])
+    except StopIteration as end:
+        return end.value
+
+
+_MODEL = "grp string, mean array<double>, inverse array<double>, wide double"
+
+
+def _model_row(grp: str, found: tuple[np.ndarray, np.ndarray, float]) -> tuple:
+    return grp, found[0].tolist(), found[1].ravel().tolist(), found[2]
+
+
+def _in_one_task(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame([_model_row(pdf["grp"].iloc[0], solve(pdf[VECTOR].to_numpy(np.float64)))], columns=["grp", "mean", "inverse", "wide"])
+
+
+_SUMS = [f"m{i}" for i in range(_MOMENTS)]
+
+
+def _ask(rows: DataFrame, questions: dict[str, list[Question]]) -> dict[str, list[np.ndarray]]:
+    """Answers for large groups: moments by bin in each batch, summed by Spark, finished a question at a time."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grp = batch.column(0).to_numpy(zero_copy_only=False)
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]], 1)
+            for name in sorted(set(grp)):
+                mine = x[grp == name]
+                for k, q in enumerate(questions[name]):
+                    bins, sums = partial(q, mine)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(bins), pa.string()), pa.array([k] * len(bins), pa.int32()), pa.array(bins), *(pa.array(c) for c in sums.T)], ["grp", "k", "bin", *_SUMS])
+
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        name, k = pdf["grp"].iloc[0], int(pdf["k"].iloc[0])
+        answer = final(questions[name][k], pdf["bin"].to_numpy(np.int64), pdf[_SUMS].to_numpy(np.float64))
+        return pd.DataFrame({"grp": [name], "k": [k], "answer": [answer.tolist()]})
+
+    summed = rows.mapInArrow(parts, "grp string, k int, bin long, " + ", ".join(f"{m} double" for m in _SUMS)).groupBy("grp", "k", "bin").agg(*[F.sum(m).alias(m) for m in _SUMS])
+    found = summed.groupBy("grp", "k").applyInPandas(finish, "grp string, k int, answer array<double>").collect()  # some 30 numbers for each of the large groups' questions
+    out: dict[str, list[np.ndarray]] = {name: [np.zeros(0)] * len(q) for name, q in questions.items()}
+    for r in found:
+        out[r.grp][r.k] = np.array(r.answer)
+    return out
+
+
+def _by_passes(rows: DataFrame, names: list[str]) -> list[tuple]:
+    """Estimates of large groups, all in the same passes over their rows."""
+    steps = {name: estimate() for name in names}
+    questions = {name: next(s) for name, s in steps.items()}
+    out = []
+    while questions:
+        answers = _ask(rows.filter(F.col("grp").isin(list(questions))), questions)
+        for name in list(questions):
+            try:
+                questions[name] = steps[name].send(answers[name])
+            except StopIteration as end:
+                out.append(_model_row(name, end.value))
+                del questions[name]
+    return out
+
+
 def _distance() -> Column:
     """Squared Mahalanobis distance of a row with its group's mean and inverse covariance."""
     d = [F.col(v) - F.col("mean")[i] for i, v in enumerate(VECTOR)]
-    p = len(VECTOR)
-    return sum((d[i] * d[j] * F.col("inverse")[i * p + j] for i in range(p) for j in range(p)), F.lit(0.0))
-
-
-def _solve(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Mean and inverse covariance from a group's sums; the floor is added to the diagonal."""
-    p = len(VECTOR)
-    for pdf in pdfs:
-        means, inverses = [], []
-        for n, s, ss in zip(pdf["n"], pdf["s"], pdf["ss"], strict=True):
-            mean = np.array(s) / n
-            cov = np.zeros((p, p))
-            cov[np.triu_indices(p)] = np.array(ss) / n - np.outer(mean, mean)[np.triu_indices(p)]
-            cov = np.triu(cov) + np.triu(cov, 1).T
-            inverses.append(np.linalg.inv(cov + np.diag(np.square(FLOOR))).ravel().tolist())
-            means.append(mean.tolist())
-        yield pd.DataFrame({"grp": pdf["grp"], "size": pdf["size"], "mean": means, "inverse": inverses})
-
-
-_MODEL = "grp string, size long, mean array<double>, inverse array<double>"
-
-
-def _moments(rows: DataFrame) -> DataFrame:
-    sums = [F.sum(v) for v in VECTOR]
-    squares = [F.sum(F.col(a) * F.col(b)) for i, a in enumerate(VECTOR) for b in VECTOR[i:]]
-    return rows.groupBy("grp").agg(F.count("*").alias("n"), F.first("size").alias("size"), F.array(*sums).alias("s"), F.array(*squares).alias("ss"))
-
-
-def _groups(stats: DataFrame) -> DataFrame:
-    """Rows with grp: language and source, or what small ones join; null where too few are left."""
-    lang, source = F.coalesce("lang", F.lit("\u0000")), F.coalesce("source", F.lit("\u0000"))
-    sizes = stats.select(lang.alias("_l"), source.alias("_s")).groupBy("_l", "_s").agg(F.count("*").alias("n"))
-    small = sizes.filter(F.col("n") < MIN_GROUP).groupBy("_l").agg(F.sum("n").alias("rest"))
-    named = sizes.join(small, "_l", "left").select(
-        F.concat_ws("\u0001", "_l", "_s").alias("pair"), "n",
-        F.when(F.col("n") >= MIN_GROUP, F.concat_ws("\u0001", F.lit("s"), "_l", "_s")).when(F.col("rest") >= MIN_GROUP, F.concat_ws("\u0001", F.lit("l"), "_l")).otherwise("*").alias("grp"),
-    )
-    total = named.groupBy("grp").agg(F.sum("n").alias("size"))
-    return named.join(total, "grp").select("pair", F.col("n").alias("pair_rows"), "grp", "size")
-
-
-def outlier_distances(stats: DataFrame, stage: Stage, n_rows: int) -> DataFrame:
-    """stats with d2, the squared robust distance of each row within its group; null where its group is too small."""
-    pair = F.concat_ws("\u0001", F.coalesce("lang", F.lit("\u0000")), F.coalesce("source", F.lit("\u0000")))
-    rows = stats.select("*", pair.alias("pair"), *[c.alias(v) for c, v in zip(_vector(), VECTOR, strict=True)])
-    groups = stage.write(_groups(stats), "groups")
-    rows = stage.write(attach(rows, groups, "pair", "pair_rows", n_rows).drop("pair", "pair_rows"), "vectors")
-    judged = rows.filter((F.col("size") >= MIN_GROUP) & (F.col("n_words") >= MIN_WORDS)).select("grp", "size", *VECTOR)
-
-    centre = judged.groupBy("grp").agg(F.first("size").alias("size"), F.array(*[F.percentile_approx(v, 0.5, 1000) for v in VECTOR]).alias("mean"))
-    spread = [F.avg(F.abs(F.col(v) - F.col("mean")[i])) for i, v in enumerate(VECTOR)]
-    p = len(VECTOR)
-    diagonal = attach(judged, centre.drop("size").join(judged.groupBy("grp").agg(F.count("*").alias("held")), "grp"), "grp", "held", n_rows)
-    scale = diagonal.groupBy("grp").agg(F.first("size").alias("size"), F.first("mean").alias("mean"), F.array(*spread).alias("s"))
-    inverse = F.array(*[(1 / (F.col("s")[i] * F.col("s")[i] + FLOOR[i] ** 2)) if i == j else F.lit(0.0) for i in range(p) for j in range(p)])
-    model = stage.write(scale.select("grp", "size", "mean", inverse.alias("inverse")), "model-0")
-    for k in range(1, STEPS + 2):
-        near = attach(judged.drop("size"), model, "grp", "size", n_rows).withColumn("d2", _distance())
-        share = SUBSET if k <= STEPS else 0.5
-        limit = near.groupBy("grp").agg(F.percentile_approx("d2", share, 1000).alias("limit"), F.first("size").alias("held"))
-        if k <= STEPS:
-            subset = F.col("d2") <= F.col("limit")
-        else:  # reweighted: all rows within the bulk, at the scale that puts the median right
-            subset = F.col("d2") <= F.greatest(F.col("limit") * (INNER / MEDIAN), F.lit(1e-9))
-        inside = attach(near, limit, "grp", "held", n_rows).filter(subset)
-        model = stage.write(_moments(inside).mapInPandas(_solve, _MODEL), f"model-{k}")
-    final = attach(judged.drop("size"), model, "grp", "size", n_rows).withColumn("d2", _distance())
-    scale = final.groupBy("grp").agg(F.percentile_approx("d2", 0.5, 1000).alias("median"))
-    model = stage.write(model.join(scale, "grp").select("grp", "size", "mean", "inverse", F.greatest(F.col("median") / MEDIAN, F.lit(1.0)).alias("wide")), "model")
-    found = attach(rows.filter(F.col("size") >= MIN_GROUP), model.withColumnRenamed("size", "_size"), "grp", "_size", n_rows)
-    covered = found.withColumn("d2", _distance() / F.col("wide"))
-    rest = rows.join(model.select("grp"), "grp", "left_anti").withColumn("d2", F.lit(None).cast("double"))
-    return covered.select(*rows.columns, "d2").unionByName(rest)
+    return sum((d[i] * d[j] * F.col("inverse")[i * P + j] for i in range(P) for j in range(P)), F.lit(0.0))
+
+
+def _groups(judged: DataFrame, stats: DataFrame) -> DataFrame:
+    """For each pair of language and source: its rows, the group that judges them and the groups that its judged rows make."""
+    sizes = stats.groupBy("pair", "_l").agg(F.count("*").alias("pair_rows"), F.count(F.when(judged, 1)).alias("n"))
+    langs = sizes.groupBy("_l").agg(F.sum("n").alias("in_lang"), F.max((F.col("n") < MIN_GROUP) & (F.col("pair_rows") > 0)).alias("asked"))
+    total = langs.agg(F.sum("in_lang").alias("in_all"), F.max(F.col("asked") & (F.col("in_lang") < MIN_GROUP)).alias("all_asked"))
+    met = sizes.join(langs, "_l").crossJoin(F.broadcast(total))  # total is one row
+    own = F.when(F.col("n") >= MIN_GROUP, F.concat(F.lit("s"), "pair"))
+    lang = F.when(F.col("in_lang") >= MIN_GROUP, F.concat(F.lit("l"), "_l"))
+    every = F.when(F.col("in_all") >= MIN_GROUP, F.lit("*"))
+    return met.select("pair", "pair_rows", F.coalesce(own, lang, every).alias("grp"), F.array_compact(F.array(own, F.when(F.col("asked"), lang), F.when(F.col("all_asked"), every))).alias("makes"))
+
+
+def outlier_distances(stats: DataFrame, stage: Stage, n_rows: int, limit: int = LIMIT) -> DataFrame:
+    """stats with d2, the squared robust distance of each row within its group; null where there are too few rows for any."""
+    lang = F.coalesce("lang", F.lit("\u0000"))
+    pair = F.concat_ws("\u0001", lang, F.coalesce("source", F.lit("\u0000")))
+    judged = F.col("n_words") >= MIN_WORDS
+    rows = stats.select("*", pair.alias("pair"), lang.alias("_l"), *[c.alias(v) for c, v in zip(_vector(), VECTOR, strict=True)])
+    groups = stage.write(_groups(judged, rows), "groups")
+    rows = stage.write(attach(rows.drop("_l"), groups, "pair", "pair_rows", n_rows).drop("pair_rows"), "vectors")
+    members = rows.filter(judged).select(F.explode("makes").alias("grp"), *VECTOR)
+    sizes = stage.write(members.groupBy("grp").agg(F.count("*").alias("held")), "sizes")
+    large = [r.grp for r in sizes.filter(F.col("held") > limit).select("grp").collect()]  # one for each limit rows at most
+    models = (members.filter(~F.col("grp").isin(large)) if large else members).groupBy("grp").applyInPandas(_in_one_task, _MODEL)
+    if large:
+        models = models.unionByName(stats.sparkSession.createDataFrame(_by_passes(members, large), _MODEL))
+    models = stage.write(models, "models")
+    used = rows.groupBy("grp").agg(F.count("*").alias("held")).join(models, "grp")
+    found = attach(rows, used, "grp", "held", n_rows).withColumn("d2", _distance() / F.col("wide"))
+    rest = rows.filter("grp is null").withColumn("d2", F.lit(None).cast("double"))
+    return found.select(*stats.columns, "d2").unionByName(rest.select(*stats.columns, "d2"))
 
 
 def judge(docs: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from lexloom.llm import packing, quality_rules, token_counts, unigram
-from tests.llm.fixtures import frame, odd_rows, sample_rows
+from tests.llm.fixtures import frame, odd_rows, prose, sample_rows
 
 ALPHABET = [" ", "  ", "\n", "\t", "a", "B", "é", "ß", " ", " ", "　", "\x1c", "\x85", "1", "٣", "!", "?", "'s", "'LL", "<|endoftext|>", "<|startoftext|>", "漢", "́", "İ", "ΑΣ", "👍", "the", "aaa", "\r\n", "\x00", "<|end", "▁"]
 
@@ -161,12 +161,105 @@ def test_quality_rules_base_counts(spark):
     assert quality_rules.judge(frame(spark, [])).count() == 0
 
 
-def test_quality_rules_find_outliers_and_leave_the_rest(spark):
-    from tests.llm.fixtures import prose
+def _outliers(rnd):
+    """A text that is odd in one statistic only, by name."""
+    words = lambda n: prose(rnd, n).split()
+    lines = prose(rnd, 240).split("\n")
+    repeat = " ".join(words(24))
+    return {
+        "capitals": " ".join(w.upper() for w in words(90)),
+        "symbols": " ".join(w + "$$" for w in words(90)),
+        "duplicate lines": "\n".join(x for i, line in enumerate(lines) for part in (line[:60], line[60:120], line[120:]) for x in (part, "Read on.")),
+        "repeated words": f"{repeat} {prose(rnd, 70)} {repeat} {prose(rnd, 60)}",
+        "long words": " ".join(a + b for a, b in zip(words(140), words(140))),
+    }
 
+
+def test_quality_rules_find_outliers_in_each_statistic_and_leave_the_rest(spark):
     rnd = random.Random(7)
-    rows = [(k, prose(rnd, rnd.randint(60, 300)), "en", "src0", 0) for k in range(200)]
-    rows += [(1000 + k, " ".join(w.upper() + "!!" for w in prose(rnd, 80).split()), "en", "src0", 0) for k in range(6)]
-    rows += [(2000 + k, " ".join(w + "$$$" for w in prose(rnd, 80).split()), "en", "src0", 0) for k in range(6)]
-    kept = {r.doc_id for r in quality_rules.judge(frame(spark, rows)).collect() if r.kept}
-    assert kept == set(range(200))
+    rows = [(k, prose(rnd, rnd.randint(60, 300)), "en", "src0", 0) for k in range(300)]
+    odd = [(1000 + k, t, "en", "src0", 0) for k, t in enumerate(t for _ in range(5) for t in _outliers(rnd).values())]
+    found = quality_rules.judge(frame(spark, rows + odd)).collect()
+    assert not [r for r in found if r.doc_id >= 1000 and (r.kept or r.base_failed)]
+    assert sum(r.kept for r in found if r.doc_id < 1000) >= 297
+
+
+def test_quality_rules_of_small_groups(spark):
+    rnd = random.Random(8)
+    rows = [(k, prose(rnd, 90), "en", "src0" if k < 60 else f"s{k % 20}", 0) for k in range(100)] + [(200, prose(rnd, 80), "de", "src0", 0), (201, prose(rnd, 80), None, None, 0)]
+    odd = [(300, "en", "s3"), (301, "en", "src0"), (302, "de", "src0"), (303, None, "s")]
+    rows += [(i, _outliers(rnd)["symbols"], lang, source, 0) for i, lang, source in odd]
+    found = {r.doc_id: r for r in quality_rules.judge(frame(spark, rows)).collect()}
+    assert all(r.d2 is not None for r in found.values())
+    assert [i for i, r in found.items() if not r.kept and i >= 200] == sorted(i for i, _, _ in odd) or {i for i, r in found.items() if not r.kept and i >= 200} == {i for i, _, _ in odd}
+    few = quality_rules.judge(frame(spark, rows[:20])).collect()
+    assert all(r.kept and r.d2 is None for r in few)
+
+
+def plain_estimate(x):
+    """The estimate row by row: whole bins of distances, four starts, steps until the determinant no longer falls."""
+    grain, p = quality_rules.GRAIN, x.shape[1]
+    octave = lambda d2: np.floor(32 * np.log2(d2 + 2.0**-10))
+    moments = lambda y: (y.mean(0), np.cov(y.T, bias=True) + np.diag(grain**2))
+
+    def quartile(v, g, share):
+        cells = np.sort(np.floor(v / (g / 8)))
+        return (cells[int(np.ceil(share * len(cells))) - 1] + 0.5) * g / 8
+
+    def far(mean, cov):
+        d = x - mean
+        return np.array([r @ np.linalg.inv(cov) @ r for r in d])
+
+    low, mid, high = (np.array([quartile(x[:, j], grain[j], s) for j in range(p)]) for s in (0.25, 0.5, 0.75))
+    spread = (high - low) / 1.349 + grain
+    box = x[(np.abs(x - mid) <= 1.5 * spread).all(1)]
+    plain = (mid, np.diag(spread**2))
+    best = None
+    for mean, cov in (moments(x), plain, moments(np.clip(x, mid - 2 * spread, mid + 2 * spread)), moments(box) if len(box) > p else plain):
+        least = np.inf
+        while True:
+            bins = octave(far(mean, cov))
+            mean, cov = moments(x[bins <= np.sort(bins)[int(np.ceil(quality_rules.SUBSET * len(x))) - 1]])
+            size = np.linalg.slogdet(cov)[1]
+            if best is None or size < best[2]:
+                best = mean, cov, size
+            if not size < least - 1e-9:
+                break
+            least = size
+
+    def middle(mean, cov):
+        bins = np.sort(octave(far(mean, cov)))
+        return 2.0 ** ((bins[int(np.ceil(0.5 * len(bins))) - 1] + 0.5) / 32)
+
+    mean, cov, _ = best
+    mean, cov = moments(x[octave(far(mean, cov)) <= octave(middle(mean, cov) / quality_rules.MEDIAN * quality_rules.INNER)])
+    return mean, np.linalg.inv(cov), max(middle(mean, cov) / quality_rules.MEDIAN, 1.0)
+
+
+def test_quality_estimate_equals_a_plain_one_by_either_route(spark):
+    rnd = np.random.default_rng(4)
+    groups = {}
+    for k, (n, spoilt) in enumerate([(40, 0), (300, 60), (500, 110), (64, 10)]):
+        x = rnd.normal(size=(n, 5)) @ (rnd.normal(size=(5, 5)) * 0.3) + rnd.normal(size=5)
+        x[:, k % 5] = np.maximum(x[:, k % 5], 0)
+        x[:spoilt] += rnd.normal(size=5) * 3
+        groups[f"g{k}"] = x
+    rows = spark.createDataFrame([(g, *map(float, v)) for g, x in groups.items() for v in x], "grp string, " + ", ".join(f"{v} double" for v in quality_rules.VECTOR))
+    passes = {r[0]: r for r in quality_rules._by_passes(rows.repartition(3), list(groups))}
+    for g, x in groups.items():
+        want = plain_estimate(x)
+        for mean, inverse, wide in (quality_rules.solve(x), (np.array(passes[g][1]), np.array(passes[g][2]).reshape(5, 5), passes[g][3])):
+            assert np.allclose(mean, want[0], atol=1e-6) and np.allclose(inverse, want[1], rtol=1e-6, atol=1e-6) and abs(wide - want[2]) < 1e-6
+
+
+def test_quality_verdicts_do_not_depend_on_the_route(spark):
+    from lexloom.llm.support import Stage, prepare
+
+    rnd = random.Random(9)
+    rows = [(k, prose(rnd, rnd.randint(15, 200)), rnd.choice(["en", "fr", None]), rnd.choice(["a", "b"]), 0) for k in range(400)]
+    prepare(spark)
+    stage = Stage(spark, "test-rules")
+    texts = frame(spark, rows).select("doc_id", "lang", "source", "text")
+    stats = stage.write(texts.mapInArrow(quality_rules._counted, quality_rules._STATS), "stats")
+    small, large = ({r.doc_id: r.d2 for r in quality_rules.outlier_distances(stats, Stage(spark, f"test-{limit}"), 400, limit).collect()} for limit in (10**6, 50))
+    assert small.keys() == large.keys() and all(abs(small[i] - large[i]) < 1e-6 * (1 + small[i]) for i in small)
