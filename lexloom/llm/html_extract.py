@@ -19,6 +19,8 @@ from __future__ import annotations
 import html as references
 import random
 import re
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -48,6 +50,7 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 NO_P = BLOCK - {"button", "label", "select", "option", "textarea"}
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)", re.S)
+_RAW_END = re.compile(rf"</({'|'.join(sorted((HIDDEN - NESTED) | {'head'}))})\b", re.I)
 _MAY_NEST = re.compile(rf"<(?:{'|'.join(sorted(NESTED))})\b", re.I)
 _NAMED = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _WORDS = re.compile(r"[a-z]+")
@@ -85,7 +88,24 @@ class _Open:
     hints: frozenset[int] = field(default_factory=frozenset)
 
 
-def _nested_ends(page: str) -> dict[int, int]:
+class _Ends:
+    """Places of the end tags of hidden elements, found in one pass when first asked for."""
+
+    def __init__(self, page: str):
+        self.page, self.places = page, None
+
+    def after(self, tag: str, at: int) -> int | None:
+        """Where the tag's next end tag from at on begins."""
+        if self.places is None:
+            self.places = defaultdict(list)
+            for m in _RAW_END.finditer(self.page):
+                self.places[m[1].lower()].append(m.start())
+        found = self.places[tag]
+        k = bisect_left(found, at)
+        return found[k] if k < len(found) else None
+
+
+def _nested_ends(page: str, raw: _Ends) -> dict[int, int]:
     """Where each NESTED element ends, by the place of its start tag; those that their parent's end tag leaves open are not in it."""
     ends: dict[int, int] = {}
     stack: list[tuple[str, int]] = []
@@ -96,8 +116,8 @@ def _nested_ends(page: str) -> dict[int, int]:
             continue
         tag, closing, rest = name.lower(), m[1] or m[4], m[3] or m[6] or ""
         if tag in HIDDEN - NESTED - {"head"}:
-            if not closing and not rest.rstrip().endswith("/") and (end := re.compile(rf"</{tag}\b", re.I).search(page, m.end())):
-                at = end.start()
+            if not closing and not rest.rstrip().endswith("/") and (end := raw.after(tag, m.end())) is not None:
+                at = end
         elif closing and (tag in NESTED or tag in BLOCK):
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
@@ -117,7 +137,8 @@ def leaf_blocks(page: str) -> list[Block]:
     parts: list[str] = []
     state = {"links": 0, "linked": 0}
     in_link, hidden, at, skip = 0, "", 0, 0
-    until = _nested_ends(page) if _MAY_NEST.search(page) else {}
+    raw = _Ends(page)
+    until = _nested_ends(page, raw) if _MAY_NEST.search(page) else {}
     in_head = False
 
     def flush() -> None:
@@ -149,7 +170,7 @@ def leaf_blocks(page: str) -> list[Block]:
         if in_head and (tag in ("head", "body", "html") if closing else tag not in IN_HEAD):
             in_head = False
         if tag == "head":
-            in_head = not closing and re.compile(r"</head\b", re.I).search(page, at) is not None
+            in_head = not closing and raw.after("head", at) is not None
             continue
         if tag in NESTED:
             at = skip = max(at, until.get(m.start(), 0))
@@ -157,8 +178,7 @@ def leaf_blocks(page: str) -> list[Block]:
         if tag in HIDDEN:
             if not closing and not rest.rstrip().endswith("/"):
                 hidden = tag
-                end = re.compile(rf"</{tag}\b", re.I).search(page, at)
-                if end is None:
+                if raw.after(tag, at) is None:
                     hidden, at = "", (len(page) if tag in ("script", "style", "title") else at)
             continue
         if tag == "a":
@@ -254,7 +274,7 @@ def page_samples(n: int, seed: int = 7) -> list[tuple[str, list[bool]]]:
 
         def menu(tag: str) -> str:
             items = "".join("<li>" + block(link(say(1, 3, False)), False) + "</li>" for _ in range(rnd.randint(1, 8)))
-            return f"<{tag}><ul>{items}</ul></{tag}>" if tag == "nav" else named(tag, ["nav", "menu", "navbar", "breadcrumb"]) + f"<ul>{items}</ul></{tag}>"
+            return f"<ul>{items}</ul>" if tag == "ul" else f"<{tag}><ul>{items}</ul></{tag}>" if tag == "nav" else named(tag, ["nav", "menu", "navbar", "breadcrumb"]) + f"<ul>{items}</ul></{tag}>"
 
         def paragraph(good: bool) -> str:
             text = say(1, 6) if rnd.random() < 0.2 else say(6, 120)
@@ -317,11 +337,18 @@ def page_samples(n: int, seed: int = 7) -> list[tuple[str, list[bool]]]:
         def head() -> str:
             return f"<header>{block(say(1, 6, False), False)}</header>" if rnd.random() < 0.6 else f'<div class="{rnd.choice(["header", "masthead", "banner"])}"><h2>{block(say(1, 5, False), False)}</h2></div>'
 
-        before = [f() for f in (head, lambda: menu(rnd.choice(["nav", "nav", "div"])), notice, advert, side, form) if rnd.random() < 0.45]
+        def bar() -> str:
+            return "<p>" + block(rnd.choice([" | ", " &middot; ", " "]).join(link(say(1, 2, False)) for _ in range(rnd.randint(2, 6))), False) + "</p>"
+
+        bare = rnd.random() < 0.12  # an old page: paragraphs stand in the body itself
+        parts = (bar, lambda: menu("ul"), advert) if bare else (head, lambda: menu(rnd.choice(["nav", "nav", "div"])), notice, advert, side, form)
+        before = [f() for f in parts if rnd.random() < (0.3 if bare else 0.45)]
         kind = rnd.random()
         opening, closing = ("<article>", "</article>") if kind < 0.55 else ("<main>", "</main>") if kind < 0.7 else (f'<div class="{rnd.choice(["content", "post", "entry-content", "article-body", "story"])}">', "</div>")
+        if bare:
+            opening, closing = rnd.choice([("", ""), ("", ""), ("<center>", "</center>"), ("<table><tr><td>", "</td></tr></table>")])
         body = opening + article() + closing
-        after = [f() for f in (talk, side, advert, form, lambda: menu("nav"), notice, foot) if rnd.random() < 0.45]
+        after = [f() for f in ((bar, advert, foot, bar) if bare else (talk, side, advert, form, lambda: menu("nav"), notice, foot, bar)) if rnd.random() < 0.4]
         pages.append((f"<!DOCTYPE html><html><head><title>{word()}</title><style>p{{margin:0}}</style></head><body>{''.join(before)}{body}{''.join(after)}</body></html>", marks))
     return pages
 

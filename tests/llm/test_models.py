@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import time
 import zlib
 
 import numpy as np
@@ -92,7 +93,27 @@ def test_accepted_keeps_columns_and_good_rows(spark, labelled):
     assert len(ids ^ {k for k, q, _ in labels if q}) <= 3
 
 
-def test_extraction_on_unseen_layouts():
+def test_extraction_of_pages_written_by_hand():
+    from tests.llm.hand_pages import PAGES
+
+    model = html_extract.model()
+    found = html_extract.extract_pages([page for page, _ in PAGES.values()], model)
+    right = sum(x in want for text, (_, want) in zip(found, PAGES.values(), strict=True) for x in text.split("\n"))
+    said, wanted = sum(len(t.split("\n")) for t in found), sum(len(w) for _, w in PAGES.values())
+    assert all(found) and right / said > 0.97 and right / wanted > 0.97
+
+
+@pytest.mark.parametrize("unit", ["<noscript>a", "<script>", "<svg>x", "<iframe>", "<!-- a", '<a title="', "<p><b>", "<div", "<template>y", "<head>z"])
+def test_leaf_blocks_take_linear_time_on_adverse_pages(unit):
+    def seconds(n):
+        began = time.process_time()
+        html_extract.leaf_blocks("<body>" + unit * n)
+        return time.process_time() - began
+
+    assert seconds(40_000) < 8 * seconds(10_000) + 0.5
+
+
+def test_extraction_on_other_pages_of_the_generator():
     right = total = 0
     model = html_extract.model()
     for page, marks in html_extract.page_samples(150, seed=4242):
