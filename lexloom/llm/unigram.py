@@ -2,10 +2,15 @@
 
 The model file's normal pieces and their log scores make the lattice; a character that no
 piece covers costs UNKNOWN below the lowest score and comes out as its UTF-8 bytes' pieces.
-No piece holds a white-space marker after another character, so the best path of a text is
+No piece holds a white-space marker after another character (checked when a model is loaded), so the best path of a text is
 the best paths of its units (markers, then other characters) side by side, and a worker
 solves each distinct unit once, all new units of a batch together in numpy.
 
+The model's normaliser is read: the identity with a marker put before and spaces escaped is
+what is done here; a model that asks for another one is refused, not encoded wrongly. The installed
+file ranks its pieces by merges; as a unigram model its ids equal the library's for the same
+file with that type (its 15 unranked white-space pieces set aside).
+
 Ties: at an end position the path whose last piece is longest wins. A space becomes the
 marker and one marker is put before a text; decoding turns markers into spaces and drops
 that one, so every text without a literal marker comes back byte for byte.
@@ -96,16 +101,30 @@ class DoubleArray:
         return to, self.check[to] == state
 
 
+def _check_normaliser(proto: bytes) -> None:
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    model.ParseFromString(proto)
+    how, suffix = model.normalizer_spec, model.trainer_spec.treat_whitespace_as_suffix
+    if how.precompiled_charsmap or how.remove_extra_whitespaces or not how.add_dummy_prefix or not how.escape_whitespaces or suffix:
+        raise ValueError(f"normaliser {how.name!r} is not the identity with a marker before the text")
+
+
 class Unigram:
     def __init__(self, path: str):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        _check_normaliser(model.serialized_model_proto())
         n = model.vocab_size()
         self.pieces = [model.id_to_piece(i).encode() for i in range(n)]
         scores = np.array([model.get_score(i) for i in range(n)])
         plain = [i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         self.ids, self.score = np.array(plain, np.int64), scores[plain]
+        odd = [i for i in plain if MARK in self.pieces[i].lstrip(MARK)]
+        if odd:
+            raise ValueError(f"piece {odd[0]} holds a white-space marker after another character")
         self.trie = DoubleArray([self.pieces[i] for i in plain])
         self.unknown = self.score[self.score > UNRANKED].min() - UNKNOWN
         self.byte_ids = np.zeros(256, np.int64)

@@ -132,6 +132,50 @@ def test_trie_finds_its_keys_only():
     assert all(look(k + b"z") == -1 for k in keys)
 
 
+def _as_unigram(path, change=None):
+    """The installed model as a unigram model, its unranked white-space pieces unused, written to path."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        model.ParseFromString(f.read())
+    model.trainer_spec.model_type = 1
+    for piece in model.pieces:
+        if piece.type == 1 and piece.score <= unigram.UNRANKED:
+            piece.type = 5
+    if change:
+        change(model)
+    path.write_bytes(model.SerializeToString())
+    return str(path)
+
+
+def test_unigram_ids_and_columns_equal_the_library(spark, tmp_path):
+    import sentencepiece
+
+    path = _as_unigram(tmp_path / "uni.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    rows = sample_rows() + odd_rows() + [(2000 + k, t, "en", "s", 0) for k, t in enumerate(noise(400)) if "\x00" not in t and "▁" not in t]
+    found = unigram.encode_documents(frame(spark, rows), model=path, with_ids=True).collect()
+    want = [(r[0], library.encode(r[1] or "")) for r in rows]
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    assert sorted(((r.doc_id, list(r.ids)) for r in found), key=key) == sorted(want, key=key)
+    for r in found:
+        assert r.n_pieces == len(r.ids) and r.n_byte_pieces == sum(library.is_byte(i) for i in r.ids)
+        assert r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+
+
+def test_unigram_refuses_models_it_would_encode_wrongly(tmp_path):
+    def odd_piece(model):
+        model.pieces[400].piece = "a▁b"
+
+    def lower(model):
+        model.normalizer_spec.remove_extra_whitespaces = True
+
+    for k, change in enumerate((odd_piece, lower)):
+        with pytest.raises(ValueError):
+            unigram.Unigram(_as_unigram(tmp_path / f"{k}.model", change))
+
+
 def brute_counts(text):
     import re
 
