@@ -11,38 +11,36 @@ from lexloom.llm.support import Stage, attach
 def components(edges: DataFrame, stage: Stage, name: str) -> DataFrame:
     """node and its component's smallest node (label), for all nodes of edges (a, b).
 
-    Each round ranks nodes anew by a hash of node and round, sends every node to the first in
-    rank of its neighbours and itself, and keeps the edges between what the ends were sent to.
-    Stars vanish in one round; of any other component, chains in the order of ids among them,
-    about half of the nodes go, so rounds number the logarithm of the largest component.
+    Nodes are ranked by a hash, so the order of ids plays no part. Each round sends every node
+    to the first in rank of its neighbours and itself, and keeps the edges between what the ends
+    were sent to. Stars vanish in two rounds; of any other component, chains in the order of ids
+    among them, about half of the nodes go, so rounds number the logarithm of the largest component.
     """
+
+    def ranked(c: str) -> Column:
+        return F.struct(F.xxhash64(c).alias("rank"), F.col(c).alias("to"))
+
     edges = stage.write(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges-0")
     empty = edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    labels, k = None, 0
+    rounds: list[DataFrame] = []
     while n_edges := edges.count():
-
-        def ranked(c: str, k: int = k) -> Column:
-            return F.struct(F.xxhash64(c, F.lit(k)).alias("rank"), F.col(c).alias("to"))
-
-        n_rows = 2 * n_edges
+        k, n_rows = len(rounds), 2 * n_edges
         both = edges.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("to")))
         first = both.groupBy("node").agg(F.min(ranked("to")).alias("first"), F.count("*").alias("degree"))
         sent = stage.write(first.withColumn("to", F.col("node")).select("node", F.least("first", ranked("to"))["to"].alias("to"), "degree"), f"{name}-sent-{k}")
-        if labels is None:
-            labels = sent.select("node", F.col("to").alias("label"))
-        else:
-            sizes = labels.groupBy("label").agg(F.count("*").alias("held"))
-            moves = sent.select(F.col("node").alias("label"), "to").join(sizes, "label")
-            stay = labels.join(moves.select("label"), "label", "left_anti").select("node", "label")
-            labels = attach(labels, moves, "label", "held", n_rows).select("node", F.col("to").alias("label")).unionByName(stay)
-        labels = stage.write(labels, f"{name}-labels-{k}")
+        rounds.append(sent)
         to_a = sent.select(F.col("node").alias("a"), F.col("to").alias("ta"), "degree")
         to_b = sent.select(F.col("node").alias("b"), F.col("to").alias("tb"), "degree")
         half = attach(edges, to_a, "a", "degree", n_rows).select("b", "ta")
         both_ends = attach(half, to_b, "b", "degree", n_rows).filter("ta <> tb")
         edges = stage.write(both_ends.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), f"{name}-edges-{k + 1}")
-        k += 1
-    if labels is None:
+    if not rounds:
         return empty
-    smallest = stage.write(labels.groupBy("label").agg(F.min("node").alias("least"), F.count("*").alias("held")), f"{name}-least")
-    return attach(labels, smallest, "label", "held", labels.count()).select("node", F.col("least").alias("label"))
+    # the last rounds' tables are small, so they are put together first: where each round's nodes end up
+    ends = rounds[-1].select("node", F.col("to").alias("label"))
+    for sent in reversed(rounds[:-1]):
+        further = sent.select("node", "to").join(ends.select(F.col("node").alias("to"), "label"), "to", "left")
+        ends = further.select("node", F.coalesce("label", "to").alias("label"))
+    ends = stage.write(ends, f"{name}-ends")
+    smallest = stage.write(ends.groupBy("label").agg(F.min("node").alias("least"), F.count("*").alias("held")), f"{name}-least")
+    return attach(ends, smallest, "label", "held", ends.count()).select("node", F.col("least").alias("label"))
