@@ -11,8 +11,10 @@ from pyspark.sql.types import StringType
 
 #: Fixed value: a token is letters, digits and apostrophes with a letter or digit; a period joins before a letter.
 TOKEN = r"(?:['’]*[\p{L}\p{N}])+(?:\.\p{L}(?:['’]*[\p{L}\p{N}])*)*['’]*"
+#: A word of the register (several by single spaces), a Roman numeral, and the frames that take a token out of the account.
 WORD = r"^['’]*\p{L}(?:['’\p{L}]|\.(?=\p{L}))*(?: ['’]*\p{L}(?:['’\p{L}]|\.(?=\p{L}))*)*$"
 ROMAN = r"^m{0,4}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$"
+EXEMPTING = ("person", "place", "org", "citation", "language")
 
 
 def tokens(text: Column) -> Column:
@@ -59,7 +61,7 @@ def shard_of(surface: Column) -> Column:
 
 def exemption_of(context: Column) -> Column:
     """The innermost frame type among those that take a token out of the account; context is array<struct<type>>."""
-    return F.element_at(F.filter(context, lambda f: f["type"].isin("person", "place", "org", "citation", "language")), -1)["type"]
+    return F.try_element_at(F.filter(context, lambda f: f["type"].isin(*EXEMPTING)), F.lit(-1))["type"]
 
 
 def entry_words(text: Column) -> Column:

@@ -12,6 +12,7 @@ from lexloom.functions import paths
 from lexloom.functions.words import fold
 from lexloom.operators import register as reg
 from lexloom.session import small
+from lexloom.sources import formatting
 
 VIOLATION = "rule string, path string, locus string, message string, line int"
 
@@ -86,6 +87,11 @@ def record_violations(records: DataFrame, key: str, schema: Schema) -> DataFrame
     return entries.unionByName(missing.filter("message is not null"))
 
 
+def cleanly_compiled(parsed: DataFrame) -> DataFrame:
+    """Parsed files without errors."""
+    return parsed.filter(F.size("errors") == 0)
+
+
 @dataclass
 class Collection:
     """The tables rules read: parsed files, their sections and blocks, and the register."""
@@ -99,7 +105,7 @@ class Collection:
     marked: DataFrame | None = None  # path, section_id, line, surface, value of [w:] tokens
 
     def __post_init__(self) -> None:
-        clean = self.parsed.filter(F.size("errors") == 0).select("path")
+        clean = cleanly_compiled(self.parsed).select("path")
         self.clean_sections = self.sections.join(clean, "path", "left_semi")
         self.clean_blocks = self.blocks.join(clean, "path", "left_semi")
         self.roots = self.clean_sections.filter("ordinal = 0")
@@ -131,6 +137,13 @@ def compiles(c: Collection) -> DataFrame:
     return rows.select("path", F.lit(None).cast("string").alias("locus"), F.col("e.message").alias("message"), F.col("e.line").alias("line"))
 
 
+@rule("every file is formatted canonically")
+def formatted(c: Collection) -> DataFrame:
+    """Files that compile; the others have that to mend first."""
+    swept = formatting.sweep(cleanly_compiled(c.parsed)).filter("changed")
+    return _out(swept, F.lit("the file is not formatted canonically"), line=None)
+
+
 @rule("author files match the author schema")
 def author_schema(c: Collection) -> DataFrame:
     authors = c.roots.filter(paths.is_author_path(F.col("path")))
