@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.support import Stage, attach
+from lexloom.llm.support import Stage, attach, tidy
 
 
 def components(edges: DataFrame, stage: Stage, name: str) -> DataFrame:
@@ -34,6 +34,7 @@ def components(edges: DataFrame, stage: Stage, name: str) -> DataFrame:
         half = attach(edges, to_a, "a", "degree", n_rows).select("b", "ta")
         both_ends = attach(half, to_b, "b", "degree", n_rows).filter("ta <> tb")
         edges = stage.write(both_ends.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), f"{name}-edges-{k + 1}")
+        tidy(stage.spark)
     if not rounds:
         return empty
     # the last rounds' tables are small, so they are put together first: where each round's nodes end up

@@ -12,7 +12,7 @@ their weighted Jaccard similarity, the sum of the smaller over that of the large
 Bands of ROWS coordinates make groups. In a group one centre, drawn by a hash of the group,
 is compared with every member of another class; the links' components become the classes,
 the centre leaves its group, and groups of one class are done. So every pair of a group is
-compared or already of one class. Each later round draws twice as many centres, so groups
+compared or already of one class. Each later round draws GROWTH times as many centres, so groups
 end within a few rounds. Groups that after REFINE_AFTER rounds still hold more than LARGE
 members of different classes (a family of copies with ever more edits, say) are not compared
 on: their members go on in groups by prefix filtering, which loses no link. Elements are
@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.llm.components import components
-from lexloom.llm.support import LAST, Stage, attach, prepare, row_key, row_tag, with_rows
+from lexloom.llm.support import LAST, Stage, attach, prepare, row_key, row_tag, tidy, with_rows
 from lexloom.llm.words import grams, mix, names, spans, strings
 from lexloom.session import small
 
@@ -53,6 +53,7 @@ THRESHOLD = 0.8
 BANDS, ROWS = 16, 4
 MARGIN = 4.0
 REFINE_AFTER, LARGE = 2, 16
+GROWTH = 3
 
 _UNIT = np.uint64(0x9FB21C651E98DF25)
 _DART = np.uint64(0xD1342543DE82EF95)
@@ -207,13 +208,12 @@ def _verify(threshold: float):
     return lambda df: df.mapInArrow(run, "a long, b long, similarity double").filter(F.col("similarity") >= threshold)
 
 
-def _compare(pairs: DataFrame, sets: DataFrame, threshold: float, stage: Stage, name: str) -> DataFrame:
+def _compare(pairs: DataFrame, sets: DataFrame, threshold: float, stage: Stage, name: str, n_rows: int) -> DataFrame:
     """Links among pairs (member, centre): a centre's set goes out to its members, hot centres by broadcast."""
     pairs = stage.write(pairs, f"{name}-pairs")
-    n_pairs = pairs.count()
     member = pairs.join(sets.select(F.col("id").alias("member"), F.col("units").alias("mine")), "member")
     centres = pairs.groupBy("centre").agg(F.count("*").alias("held")).join(sets.select(F.col("id").alias("centre"), F.col("units").alias("its")), "centre")
-    rows = attach(member, centres, "centre", "held", n_pairs).select(F.col("member").alias("a"), F.col("centre").alias("b"), "mine", "its")
+    rows = attach(member, centres, "centre", "held", n_rows).select(F.col("member").alias("a"), F.col("centre").alias("b"), "mine", "its")
     return stage.write(_verify(threshold)(rows), f"{name}-links")
 
 
@@ -266,7 +266,7 @@ def _judged(docs: DataFrame, threshold: float) -> DataFrame:
             classed = holders.withColumn("cls", F.col("id"))
         else:
             classed = holders.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("cls", F.coalesce("label", "id")).drop("label")
-        classed = stage.write(classed.select("id", "cls", F.inline("entries")), f"classed-{k}")
+        classed = classed.select("id", "cls", F.inline("entries"))
         draw = F.struct(F.xxhash64("id", "band", F.lit(k)).alias("h"), F.col("id").alias("id"), F.col("cls").alias("cls"))
         state = classed.groupBy("band").agg(F.count("*").alias("held"), F.min("cls").alias("low"), F.max("cls").alias("high"), F.min(draw).alias("first")).filter("low <> high")
         open_rows = stage.write(attach(classed, state.select("band", "held", "first"), "band", "held", n_rows), f"open-{k}")
@@ -276,16 +276,17 @@ def _judged(docs: DataFrame, threshold: float) -> DataFrame:
             holders = stage.write(_gathered(small_groups.unionByName(_prefixes(sets, large, threshold, stage))), f"holders-{k}-fine")
             k += 1
             continue
-        # the first by hash, and each other member with a chance that makes 2**k centres on average
-        centre = (F.col("id") == F.col("first.id")) | (F.pmod(F.xxhash64("id", "band", F.lit(k + 1000)), F.col("held")) < 2**k - 1)
-        marked = stage.write(open_rows.withColumn("is_centre", centre).drop("first"), f"marked-{k}")
+        # the first by hash, and each other member with a chance that makes GROWTH**k centres on average
+        centre = (F.col("id") == F.col("first.id")) | (F.pmod(F.xxhash64("id", "band", F.lit(k + 1000)), F.col("held")) < GROWTH**k - 1)
+        marked = open_rows.withColumn("is_centre", centre).drop("first")
         centres = marked.filter("is_centre").groupBy("band").agg(F.first("held").alias("held"), F.collect_list(F.struct("id", "cls", "place", "n")).alias("centres"))
         met = attach(marked.drop("held"), centres, "band", "held", n_rows).select("id", F.explode(F.filter("centres", _may_link(threshold))).alias("c"))
         pairs = met.select(F.col("id").alias("member"), F.col("c.id").alias("centre")).distinct()
-        found = _compare(pairs, sets, threshold, stage, f"round-{k}").select("a", "b")
+        found = _compare(pairs, sets, threshold, stage, f"round-{k}", n_rows).select("a", "b")
         if not found.isEmpty():
             labels = _joined_classes(labels, found, stage, f"classes-{k}", n_rows)
         holders = stage.write(_gathered(marked.filter(~F.col("is_centre"))), f"holders-{k + 1}")
+        tidy(spark)
         k += 1
     content = nodes.select("id", "content", "size", "first")
     if labels is not None:

@@ -88,6 +88,11 @@ class Stage:
         p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Collect the driver's garbage: a loop of many small jobs leaves plans and generated classes that would pile up in its memory."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int) -> DataFrame:
     """Inner join rows with groups, where key is unique in groups and size counts a group's rows.
 
