@@ -90,9 +90,9 @@ def top(rows: DataFrame, k: int) -> DataFrame:
 
 
 def page(rows: DataFrame, number: int, size: int = 50) -> DataFrame:
-    """A page of the ranking; the number is clamped to the pages there are. Only the rows up to the page are sorted."""
-    pages = max(1, -(-rows.count() // size))
-    number = min(max(number, 0), pages - 1)
-    first = rows.orderBy(F.col("n").desc(), "surface").limit((number + 1) * size)
+    """A page of the ranking, or the last one where there are fewer; only the rows up to the page are sorted and counted."""
+    first = rows.orderBy(F.col("n").desc(), "surface").limit((max(number, 0) + 1) * size)
     rank = F.row_number().over(Window.orderBy(F.col("n").desc(), "surface"))
-    return first.withColumn("rank", rank).filter(F.col("rank") > number * size)
+    last = F.ceil(F.count("*").over(Window.partitionBy()) / size) - 1
+    ranked = first.withColumns({"rank": rank, "_last": last})
+    return ranked.filter(F.col("rank") > F.least(F.lit(max(number, 0)), "_last") * size).drop("_last")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.session import small
+from lexloom.session import settled, small
 
 
 def joint_authors(host: Column, declared: Column) -> Column:
@@ -60,26 +60,23 @@ def resolve_refs(refs: DataFrame, editions: DataFrame) -> DataFrame:
     return refs.withColumn("_ref", F.lower("ref")).join(ids, "_ref", "left").drop("_ref")
 
 
-def compose(refs: DataFrame, depth: int = 64) -> tuple[DataFrame, DataFrame]:
-    """All editions that each edition holds, directly or through others, and the references that close a cycle.
+def compose(refs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All editions that each edition holds, directly (depth 2) or through others, and the references that lie on a cycle.
 
-    refs has host_key and doc_key. A round joins the frontier with the references once; a path
-    ends where it would meet an edition it already holds, so rounds end with the deepest path.
+    refs has host_key and doc_key. Pairs of root and edition are kept once, at their least depth; a round joins the new
+    pairs with the references, so rounds end with the deepest composition and a cycle adds no pairs twice.
     """
-    edges = refs.filter("doc_key is not null").select("host_key", "doc_key").distinct()
-    frontier = edges.select(F.col("host_key").alias("root"), "doc_key", F.array("host_key", "doc_key").alias("path"), (F.col("host_key") == F.col("doc_key")).alias("cycle"))
-    held, cycles = frontier.filter("not cycle"), frontier.filter("cycle").select("root", "doc_key")
-    last = held
-    for _ in range(depth):
-        step = last.select("root", F.col("doc_key").alias("host_key"), "path").join(edges, "host_key")
-        step = step.select("root", "doc_key", F.array_append("path", F.col("doc_key")).alias("next"), F.array_contains("path", F.col("doc_key")).alias("cycle"))
-        step = step.checkpoint() if step.sparkSession.sparkContext.getCheckpointDir() else step.cache()
-        cycles = cycles.unionByName(step.filter("cycle").select("root", "doc_key"))
-        last = step.filter("not cycle").select("root", "doc_key", F.col("next").alias("path"))
+    edges = settled(refs.filter("doc_key is not null").select("host_key", "doc_key").distinct())
+    held = last = edges.select(F.col("host_key").alias("root"), "doc_key", F.lit(2).alias("depth"))
+    while True:
+        step = last.select("root", F.col("doc_key").alias("host_key"), F.col("depth") + 1).join(edges, "host_key").select("root", "doc_key", F.col("(depth + 1)").alias("depth")).distinct()
+        last = settled(step.join(held.select("root", "doc_key"), ["root", "doc_key"], "left_anti"))
         if last.isEmpty():
             break
-        held = held.drop("cycle").unionByName(last)
-    return held.select("root", "doc_key", F.size("path").alias("depth")).distinct(), cycles.distinct()
+        held = settled(held.unionByName(last))
+    back = held.select(F.col("root").alias("doc_key"), F.col("doc_key").alias("host_key"))
+    cycles = edges.join(back, ["host_key", "doc_key"], "left_semi").unionByName(edges.filter("host_key = doc_key")).distinct()
+    return held.filter("root <> doc_key"), cycles
 
 
 def inherited(sections: DataFrame, keys: list[str]) -> DataFrame:
@@ -99,14 +96,10 @@ def merged_dictionary(sections: DataFrame) -> DataFrame:
 
 
 def letter_groups(authors: DataFrame) -> DataFrame:
-    """Authors by the first letter of surname, or of slug where that is empty."""
+    """Authors under the first letter of surname, or of slug where that is empty, with how many a letter has: one row an author."""
     letter = F.upper(F.left(F.coalesce(F.nullif("surname", F.lit("")), F.col("slug")), F.lit(1)))
-    return authors.groupBy(letter.alias("letter")).agg(F.array_sort(F.collect_set("slug")).alias("slugs"))
-
-
-def shared_children(refs: DataFrame, editions: DataFrame) -> DataFrame:
-    """Children of documents that are editions themselves."""
-    return refs.join(small(editions.select("doc_key").distinct()), "doc_key", "left_semi")
+    rows = authors.select(letter.alias("letter"), "slug").distinct()
+    return rows.join(small(rows.groupBy("letter").agg(F.count("*").alias("authors"))), "letter")
 
 
 def each_once(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -114,17 +107,58 @@ def each_once(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.groupBy(key).agg(F.min_by(F.struct(*[c for c in df.columns if c != key]), order).alias("r")).select(key, "r.*")
 
 
-def descend(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
-    """root, doc_key and depth (2 for direct children) of what roots (edges too) hold, down to a depth; edges must have no cycle."""
-    last = roots.select(F.col("host_key").alias("root"), "doc_key", F.lit(2).alias("depth")).distinct()
-    held = last
-    for _ in range(depth - 2):
-        last = last.select("root", F.col("doc_key").alias("host_key"), "depth").join(edges, "host_key").select("root", "doc_key", (F.col("depth") + 1).alias("depth")).distinct()
-        held = held.unionByName(last)
-    return held
+def work_order(works: DataFrame) -> DataFrame:
+    """By first publication (none last), then slug."""
+    return works.orderBy(F.col("first_published").asc_nulls_last(), "slug")
+
+
+def edition_order(editions: DataFrame) -> DataFrame:
+    """Editions of a work by slug, code point by code point."""
+    return editions.withColumn("place", F.row_number().over(Window.partitionBy("work_key").orderBy("slug")))
+
+
+def picker_order(authors: DataFrame) -> DataFrame:
+    """slug and name of authors by surname and forename as readers sort them."""
+    name = F.trim(F.concat("forename", F.lit(" "), "surname"))
+    return authors.select("slug", name.alias("name"), "surname", "forename").orderBy(F.expr("surname collate UNICODE"), F.expr("forename collate UNICODE"), "slug").select("slug", "name")
+
+
+def imported(works: DataFrame, editions: DataFrame) -> DataFrame:
+    """work_key and whether its canonical edition is imported; works has canonical, editions slug and imported."""
+    chosen = editions.select("work_key", F.col("slug").alias("canonical"), "imported")
+    return works.select("work_key", "canonical").join(chosen, ["work_key", "canonical"], "left").select("work_key", "imported")
+
+
+def listed(works: DataFrame) -> DataFrame:
+    """Works that stand by themselves: not those kept for collections alone."""
+    return works.filter(F.coalesce("standalone", F.lit(True)))
+
+
+def borrowable(editions: DataFrame) -> DataFrame:
+    """id and title of every edition, once."""
+    return editions.select("doc_key", F.col("doc_id").alias("id"), "title").dropDuplicates(["doc_key"]).select("id", "title")
+
+
+def borrowed_children(refs: DataFrame, editions: DataFrame) -> DataFrame:
+    """refs (host_key, doc_key) whose child is an edition, with its work and slug."""
+    return refs.join(editions.select("doc_key", "work_key", "slug"), "doc_key").select("host_key", "doc_key", "work_key", "slug")
+
+
+def labelled_changes(changes: DataFrame, labels: DataFrame) -> DataFrame:
+    """changes (path, change) with the edition's label, or the path where there is none."""
+    return changes.join(labels.select("path", "label"), "path", "left").select("path", F.coalesce("label", "path").alias("label"), "change")
+
+
+def tree_counts(sections: DataFrame, blocks: DataFrame) -> DataFrame:
+    """path with how many sections are below its root and how many blocks it has in all."""
+    inner = sections.groupBy("path").agg(F.count(F.when(F.col("depth") > 1, 1)).alias("sections"))
+    return inner.join(blocks.groupBy("path").agg(F.count("*").alias("blocks")), "path", "left").select("path", "sections", F.coalesce("blocks", F.lit(0)).alias("blocks"))
 
 
-def carried(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """rows with value carried on from the last row of the key that has one."""
-    window = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(f"{value}_carried", F.last(value, ignorenulls=True).over(window))
+def build_summary(**tables: DataFrame) -> DataFrame:
+    """One row for each table: its name and number of rows."""
+    out = None
+    for name, df in tables.items():
+        row = df.agg(F.lit(name).alias("part"), F.count("*").alias("n"))
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions.words import entry_words, fold, is_mechanical, possessive_base
 from lexloom.operators.register import by_surface, select_reading
-from lexloom.session import small
+from lexloom.session import settled, small
 
 
 def hover(shown: DataFrame, expanded: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -80,16 +80,16 @@ def targets(wanted: DataFrame, entries: DataFrame, attested: DataFrame, kind: st
     return wanted.join(known, "target", "left").join(seen, "target", "left").select("target", F.when(F.col("_known"), "resolved").when(F.col("_seen"), yes).otherwise(no).alias("state"))
 
 
-def cascade(wanted: DataFrame, entries: DataFrame, offered: DataFrame, depth: int = 16) -> DataFrame:
+def cascade(wanted: DataFrame, entries: DataFrame, offered: DataFrame) -> DataFrame:
     """All entries that adding wanted(surface, spellings, lemma) brings with it, from offered entries of the same
-    columns, each once with the round it is needed in; what is registered already ends a branch."""
+    columns, each once with the round it is needed in; what is registered already ends a branch. Rounds go on until none is new."""
     known = entries.select("surface").distinct()
-    front = wanted.select("surface", "spellings", "lemma").join(known, "surface", "left_anti")
-    out = front.withColumn("round", F.lit(0))
-    for k in range(1, depth):
+    front = settled(wanted.select("surface", "spellings", "lemma").join(known, "surface", "left_anti"))
+    out, k = front.withColumn("round", F.lit(0)), 0
+    while not front.isEmpty():
+        k += 1
         named = front.select(F.explode(F.coalesce("spellings", F.array("lemma"))).alias("surface")).distinct()
-        front = offered.select("surface", "spellings", "lemma").join(named, "surface", "left_semi").join(known, "surface", "left_anti").join(out.select("surface"), "surface", "left_anti")
-        if front.isEmpty():
-            break
+        fresh = offered.select("surface", "spellings", "lemma").join(named, "surface", "left_semi").join(known, "surface", "left_anti").join(out.select("surface"), "surface", "left_anti")
+        front = settled(fresh)
         out = out.unionByName(front.withColumn("round", F.lit(k)))
     return out

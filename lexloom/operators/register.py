@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.words import fold, is_word, letter_of, reading_lemma, reading_spelling, shard_of
+from lexloom.session import settled
 
 WORDS = "array<struct<spelling string, lemma string>>"
 
@@ -89,6 +90,7 @@ def expand(rows: DataFrame) -> DataFrame:
 def violations(rows: DataFrame) -> DataFrame:
     """surface and message of readings that don't resolve: dangling spellings, lemmas that are no
     citation form, then duplicates and readings that no selector tells apart (not where spellings dangle)."""
+    rows = settled(rows)
     has = rows.groupBy("surface").agg(F.max(F.col("lemma").isNotNull()).alias("identity"), F.max(F.coalesce(F.col("lemma") == F.col("surface"), F.lit(False))).alias("citation"))
     named = rows.filter("spellings is not null").select("surface", F.explode("spellings").alias("name")).distinct()
     of_names = named.join(has.select(F.col("surface").alias("name"), "identity"), "name", "left")
@@ -105,7 +107,7 @@ def violations(rows: DataFrame) -> DataFrame:
         F.when(F.col("citation").isNull(), F.concat(quote(F.col("name")), F.lit(" has no entry")))
         .otherwise(F.concat(quote(F.col("name")), F.lit(" is not a citation form (its entry has no null reading)"))).alias("message"),
     )
-    whole = expand(rows).join(dangling.select("surface").distinct(), "surface", "left_anti")
+    whole = settled(expand(rows).join(dangling.select("surface").distinct(), "surface", "left_anti"))
     copies = whole.groupBy("surface", "spelling", "lemma").agg(F.count("*").alias("n"), F.min("reading_ord").alias("first")).filter("n > 1")
     twice = copies.select("surface", F.concat(F.lit("duplicate reading "), quote(F.col("spelling"))).alias("message"))
     once = whole.select("surface", "reading_ord", "spelling", "lemma").join(copies.select("surface").distinct(), "surface", "left_anti")

@@ -252,7 +252,7 @@ def shards_well_formed(c: Collection) -> DataFrame:
     if c.entries is None:
         return _empty(c)
     rows = reg.structure_problems(c.entries)
-    return _out(rows.withColumn("path", F.concat(F.lit("dictionary/"), "shard")), F.col("message"), F.format_string(_QUOTED, "surface"), line=None)
+    return _out(rows.withColumn("path", F.concat(F.lit("dictionary/"), "shard")), F.col("message"), F.concat(F.lit('"'), F.col("surface"), F.lit('"')), line=None)
 
 
 def _sound(c: Collection) -> DataFrame | None:

@@ -6,9 +6,13 @@ sections; parts and suppliers for joint authorship; events for a change log.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexloom.operators import catalogue, rules
+from lexloom.plans.collection_queries import QUERIES as _COLLECTION
+from lexloom.plans.editor_queries import QUERIES as _EDITOR
+from lexloom.plans.register_queries import QUERIES as _REGISTER
 from lexloom.plans.text_queries import QUERIES as _TEXT
 from lexloom.plans.text_queries import table
 from lexloom.session import small
@@ -68,31 +72,53 @@ def comparable_works(spark, sf_dir):
     return catalogue.comparable_works(_editions(spark, sf_dir))
 
 
-@query("SELECT l_partkey AS work_key, count(DISTINCT l_suppkey) AS authors, CAST(min(l_suppkey) AS BIGINT) AS first_author, string_agg(DISTINCT s_name, ' & ' ORDER BY s_name) AS names FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY l_partkey")
+@query(
+    """WITH k AS (SELECT DISTINCT l_partkey AS work_key, l_suppkey AS s FROM lineitem)
+SELECT k.work_key, 's' || k.s AS slug, CASE WHEN k.s >= 5 THEN s_name ELSE 's' || k.s END AS surname, k.s < 5 AS synthesised FROM k LEFT JOIN supplier ON s_suppkey = k.s"""
+)
 def joint_authorship(spark, sf_dir):
-    links = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("work_key"), F.col("l_suppkey").alias("slug")).distinct()
-    named = links.join(small(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("slug"), "s_name")), "slug")
-    return named.groupBy("work_key").agg(F.count("*").alias("authors"), F.min("slug").alias("first_author"), F.array_join(F.array_sort(F.collect_set("s_name")), " & ").alias("names"))
+    """Parts as works of several suppliers; the first five suppliers have no file, so their names are made from the slugs."""
+    links = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("work_key"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("slug")).distinct()
+    declared = links.groupBy("work_key").agg(F.array_sort(F.collect_set("slug")).alias("declared"))
+    works = declared.select("work_key", catalogue.joint_authors(F.col("declared")[0], F.col("declared")).alias("author_slugs"))
+    authors = table(spark, sf_dir, "supplier").filter("s_suppkey >= 5").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("slug"), F.col("s_name").alias("surname"))
+    named, known = catalogue.register_authors(works, authors)
+    return named.join(small(known), "slug").select("work_key", "slug", "surname", "synthesised")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 5)")
 def unresolved_refs(spark, sf_dir):
-    refs = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    held = small(table(spark, sf_dir, "part").filter("p_size > 5").select(F.col("p_partkey").alias("l_partkey")))
-    return refs.join(held, "l_partkey", "left_anti").select("l_orderkey", "l_linenumber", "l_partkey")
+    refs = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.concat(F.lit("PART."), F.col("l_partkey").cast("string")).alias("ref"))
+    held = table(spark, sf_dir, "part").filter("p_size > 5").select(F.concat(F.lit("Part."), F.col("p_partkey").cast("string")).alias("doc_id"), F.col("p_partkey").alias("doc_key"))
+    return catalogue.resolve_refs(refs, held).filter("doc_key is null").select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+_BORROWED = """e AS (SELECT DISTINCT conv_id AS host, conv_id + turn + 1 AS child FROM conversations WHERE turn < 2 AND conv_id % 7 + turn + 1 < 7),
+ok AS (SELECT host, child FROM e WHERE child IN (SELECT conv_id FROM conversations))"""
+
+
+def _borrowed(spark, sf_dir):
+    """Conversations hold the next one and the one after it, within each seven: compositions end there."""
+    rows = table(spark, sf_dir, "conversations")
+    held = rows.select(F.col("conv_id").alias("doc_key")).distinct()
+    inside = rows.filter("turn < 2 and conv_id % 7 + turn + 1 < 7").select(F.col("conv_id").alias("host_key"), (F.col("conv_id") + F.col("turn") + 1).alias("doc_key"))
+    return inside.distinct().join(held, "doc_key", "left_semi")
 
 
 @query(
-    """WITH RECURSIVE e AS (SELECT DISTINCT conv_id AS host, conv_id + turn + 1 AS child FROM conversations WHERE turn < 2),
-ok AS (SELECT host, child FROM e WHERE child IN (SELECT conv_id FROM conversations)),
-r AS (SELECT host AS root, child, 2 AS depth FROM ok WHERE host % 10 = 0 UNION SELECT r.root, ok.child, r.depth + 1 FROM r JOIN ok ON ok.host = r.child WHERE r.depth < 5)
-SELECT DISTINCT root, child AS doc_key, CAST(depth AS INTEGER) AS depth FROM r"""
+    f"""WITH RECURSIVE {_BORROWED}, r AS (SELECT host AS root, child, 2 AS depth FROM ok UNION SELECT r.root, ok.child, r.depth + 1 FROM r JOIN ok ON ok.host = r.child)
+SELECT root, child AS doc_key, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY root, child"""
 )
 def compose_tree(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations")
-    held = rows.select(F.col("conv_id").alias("doc_key")).distinct()
-    edges = rows.filter("turn < 2").select(F.col("conv_id").alias("host_key"), (F.col("conv_id") + F.col("turn") + 1).alias("doc_key")).distinct().join(held, "doc_key", "left_semi")
-    return catalogue.descend(edges, edges.filter("host_key % 10 = 0"), 5)
+    return catalogue.compose(_borrowed(spark, sf_dir))[0].select("root", "doc_key", "depth")
+
+
+@query("SELECT c_custkey AS host_key, CASE WHEN c_custkey % 4 = 2 THEN c_custkey - 2 ELSE c_custkey + 1 END AS doc_key FROM customer WHERE c_custkey % 4 < 3 AND c_custkey - c_custkey % 4 + 2 IN (SELECT c_custkey FROM customer)")
+def composition_cycles(spark, sf_dir):
+    """References that lie on a cycle: of each four works the first three hold each other in a ring, and the last holds the first."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("host_key"))
+    child = F.expr("case host_key % 4 when 2 then host_key - 2 when 3 then host_key - 3 else host_key + 1 end")
+    return catalogue.compose(rows.select("host_key", child.alias("doc_key")))[1]
 
 
 @query(
@@ -100,9 +126,24 @@ def compose_tree(spark, sf_dir):
 SELECT conv_id, turn, last_value(own IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value FROM m"""
 )
 def cascade_metadata(spark, sf_dir):
-    own = F.when(F.char_length("text") % 3 == 0, F.concat("role", F.lit(":"), F.char_length("text").cast("string")))
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", own.alias("own"))
-    return catalogue.carried(rows, "conv_id", "turn", "own").select("conv_id", "turn", F.col("own_carried").alias("value"))
+    """Turns as sections, each inside the ones before it; a section's value is its own or the nearest ancestor's."""
+    own = F.when(F.char_length("text") % 3 == 0, F.create_map(F.lit("own"), F.concat("role", F.lit(":"), F.char_length("text").cast("string")))).otherwise(F.create_map().cast("map<string,string>"))
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("path"), F.col("turn").alias("id"), own.alias("metadata"))
+    return catalogue.inherited(_inside(rows), ["own"]).select(F.col("path").alias("conv_id"), F.col("id").alias("turn"), F.col("own").alias("value"))
+
+
+def _inside(rows):
+    before = Window.partitionBy("path").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("ancestors", F.collect_list("id").over(before))
+
+
+@query(
+    """SELECT c.conv_id, c.turn, t.role AS surface, max(t.turn) AS value FROM conversations c JOIN conversations t ON t.conv_id = c.conv_id AND t.turn <= c.turn GROUP BY c.conv_id, c.turn, t.role"""
+)
+def merged_overrides(spark, sf_dir):
+    """Overrides that hold in each turn, its own over those of the turns around it."""
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("path"), F.col("turn").alias("id"), F.create_map("role", "turn").alias("dictionary"))
+    return catalogue.merged_dictionary(_inside(rows)).select(F.col("path").alias("conv_id"), F.col("id").alias("turn"), "surface", "value")
 
 
 _SCHEMA_SQL = """SELECT c_custkey AS record, 'missing "surname"' AS message FROM customer WHERE c_mktsegment = 'BUILDING'
@@ -163,11 +204,13 @@ def change_sessions(spark, sf_dir):
     return incremental.quiet_sessions(table(spark, sf_dir, "events").select("user_id", "ts"), "user_id", "ts", 3600)
 
 
-@query("SELECT letter, count(*) AS authors, string_agg(s_name, ',' ORDER BY s_name) AS names FROM (SELECT upper(left(s_name, 1)) || (s_suppkey % 7) AS letter, s_name FROM supplier) GROUP BY letter")
+@query(
+    """WITH l AS (SELECT upper(left(CASE WHEN s_suppkey % 5 = 0 THEN 's' || s_suppkey ELSE chr(CAST(97 + s_suppkey % 26 AS INTEGER)) || s_name END, 1)) AS letter, 's' || s_suppkey AS slug FROM supplier)
+SELECT letter, slug, count(*) OVER (PARTITION BY letter) AS authors FROM l"""
+)
 def letter_groups(spark, sf_dir):
-    rows = table(spark, sf_dir, "supplier")
-    letter = F.concat(F.upper(F.left("s_name", F.lit(1))), (F.col("s_suppkey") % 7).cast("string"))
-    return rows.groupBy(letter.alias("letter")).agg(F.count("*").alias("authors"), F.array_join(F.array_sort(F.collect_list("s_name")), ",").alias("names"))
+    surname = F.when(F.col("s_suppkey") % 5 == 0, "").otherwise(F.concat(F.chr(F.col("s_suppkey") % 26 + 97), "s_name"))
+    return catalogue.letter_groups(table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("slug"), surname.alias("surname"))).select("letter", "slug", "authors")
 
 
 @query(
@@ -192,4 +235,4 @@ def submission_states(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy(state.alias("state")).agg(F.count("*").alias("n"))
 
 
-ALL = _TEXT | QUERIES
+ALL = _TEXT | QUERIES | _COLLECTION | _REGISTER | _EDITOR

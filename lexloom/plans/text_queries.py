@@ -25,6 +25,15 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+#: Documents and, as one more source, the benchmark's texts with 's behind each word, for no document has a possessive.
+POSSESSED_SQL = "(SELECT source, text FROM documents UNION ALL SELECT 'possessives', replace(text, ' ', chr(39) || 's ') FROM benchmark) AS x"
+
+
+def possessed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = table(spark, sf_dir, "benchmark").select(F.lit("possessives").alias("source"), F.replace("text", F.lit(" "), F.lit("'s ")).alias("text"))
+    return docs(spark, sf_dir).select("source", "text").unionByName(made)
+
+
 def reg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return acc.register_of(table(spark, sf_dir, "benchmark"))
 
@@ -68,9 +77,9 @@ def fold_surfaces(spark, sf_dir):
     return rows.select("text", w.fold(F.col("text")).alias("folded"), "n")
 
 
-@query(f"WITH {_tok()} SELECT surface, {BASE_SQL} AS base, count(*) AS n FROM tok WHERE {BASE_SQL} IS NOT NULL GROUP BY surface")
+@query(f"WITH {_tok(source=POSSESSED_SQL)} SELECT surface, {BASE_SQL} AS base, count(*) AS n FROM tok WHERE {BASE_SQL} IS NOT NULL GROUP BY surface")
 def possessive_bases(spark, sf_dir):
-    rows = acc.surface_counts(docs(spark, sf_dir)).withColumn("base", w.possessive_base(F.col("surface")))
+    rows = acc.surface_counts(possessed(spark, sf_dir)).withColumn("base", w.possessive_base(F.col("surface")))
     return rows.filter("base is not null").select("surface", "base", "n")
 
 
@@ -90,11 +99,11 @@ def shard_letters(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_tok("source")}, {_REG}, cnt AS (SELECT source, surface, count(*) AS n FROM tok GROUP BY ALL), {_STATUS}
+    f"""WITH {_tok("source", POSSESSED_SQL)}, {_REG}, cnt AS (SELECT source, surface, count(*) AS n FROM tok GROUP BY ALL), {_STATUS}
 SELECT source, status, CAST(sum(n) AS BIGINT) AS n FROM stat GROUP BY source, status"""
 )
 def accounting_status(spark, sf_dir):
-    counts = acc.surface_counts(docs(spark, sf_dir), "source")
+    counts = acc.surface_counts(possessed(spark, sf_dir), "source")
     return acc.with_status(counts, reg(spark, sf_dir)).groupBy("source", "status").agg(F.sum("n").alias("n"))
 
 
@@ -177,27 +186,6 @@ def register_expand(spark, sf_dir):
     return register.expand(_readings(spark, sf_dir)).select("surface", "reading_ord", "spelling", "lemma")
 
 
-@query(
-    f"""WITH {_READ}, ids AS (SELECT DISTINCT surface FROM readings WHERE lemma IS NOT NULL)
-SELECT DISTINCT r.surface, 'the entry for "' || r.spelling || '" has no identity reading (nothing to derive a lemma from)' AS message
-FROM readings r WHERE r.spelling IS NOT NULL AND NOT EXISTS (SELECT 1 FROM ids WHERE ids.surface = r.spelling)"""
-)
-def register_dangles(spark, sf_dir):
-    return register.violations(_readings(spark, sf_dir))
-
-
-@query(
-    f"""WITH {_READ}, words AS (SELECT DISTINCT {SURFACE_SQL} AS word FROM (SELECT unnest(regexp_extract_all(text, '{TOKEN_SQL}')) AS t FROM conversations)),
-only1 AS (SELECT surface, min(spelling) AS canonical FROM readings GROUP BY surface HAVING count(*) = 1 AND min(spelling) IS NOT NULL),
-m AS (SELECT surface, canonical FROM only1 WHERE canonical IN (SELECT surface FROM readings) UNION SELECT canonical, canonical FROM only1 WHERE canonical IN (SELECT surface FROM readings)),
-b AS (SELECT canonical, min(m.surface) FILTER (w.word IS NOT NULL) AS expected FROM m LEFT JOIN words w ON m.surface = w.word GROUP BY canonical)
-SELECT canonical, expected, false AS is_pinned FROM b WHERE expected IS NULL OR expected <> canonical"""
-)
-def canonical_spelling(spark, sf_dir):
-    listed = acc.surface_counts(table(spark, sf_dir, "conversations")).select(F.col("surface").alias("word"))
-    return register.canonical_spelling(_readings(spark, sf_dir), listed, listed.limit(0))
-
-
 @query(f"WITH {_READ}, x AS (SELECT DISTINCT coalesce(spelling, surface) AS sp, coalesce(lemma, spelling) AS lemma FROM readings) SELECT lemma, string_agg(sp, ' ' ORDER BY sp) AS forms, lemma IN (SELECT surface FROM readings) AS headword FROM x GROUP BY lemma")
 def lemma_paradigms(spark, sf_dir):
     return register.paradigms(register.expand(_readings(spark, sf_dir))).select("lemma", F.array_join("forms", " ").alias("forms"), "headword")
@@ -254,13 +242,21 @@ def search_scope(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_LINES}, t AS (SELECT doc_id, line, text FROM l WHERE text LIKE '%thing%')
-SELECT doc_id, CAST(line AS INTEGER) AS line, md5(replace(text, 'thing', 'ting$1')) AS digest, line % 7 = 0 AS stale FROM t"""
+    f"""WITH {_LINES}, t AS (SELECT doc_id, line, text, unnest(regexp_extract_all(text, 'th[a-z]+n')) AS match FROM l)
+SELECT doc_id, CAST(line AS INTEGER) AS line, match, count(*) AS n, line % 7 <> 0 AS fresh, CASE WHEN line % 7 <> 0 THEN '<' || match || '>' END AS replacement FROM t GROUP BY doc_id, line, match"""
 )
 def replace_plan(spark, sf_dir):
-    q = search.Query("thing", case_sensitive=True)
-    lines = _lines(spark, sf_dir).filter(F.col("text").contains("thing"))
-    return lines.select("doc_id", "line", F.md5(search.replaced(F.col("text"), q, "ting$1")).alias("digest"), (F.col("line") % 7 == 0).alias("stale"))
+    """Matches found, then planned against lines of which every seventh has changed since."""
+    q = search.Query("(th[a-z]+n)", is_regex=True, case_sensitive=True)
+    lines = _lines(spark, sf_dir)
+    now = lines.withColumn("text", F.when(F.col("line") % 7 == 0, F.upper("text")).otherwise(F.col("text")))
+    plan = search.replace_plan(search.positions(lines, q, "doc_id"), now, q, "<$1>", "doc_id")
+    return plan.groupBy("doc_id", "line", "match", "fresh", "replacement").agg(F.count("*").alias("n"))
+
+
+def worded(texts: DataFrame, key: str) -> DataFrame:
+    """key and the folded words of each text."""
+    return texts.select(key, F.transform(w.tokens(F.col("text")), w.fold_token).alias("words"))
 
 
 _GRAM = "lead(surface, {0}) OVER (PARTITION BY doc_id ORDER BY pos)"
@@ -269,19 +265,17 @@ _POS = f"p AS (SELECT doc_id, pos, {SURFACE_SQL} AS surface FROM (SELECT doc_id,
 
 @query(
     f"""WITH {_POS}, bp AS (SELECT item_id, pos, {SURFACE_SQL} AS surface FROM (SELECT item_id, unnest(a) AS t, generate_subscripts(a, 1) - 1 AS pos FROM (SELECT item_id, regexp_extract_all(coalesce(text, ''), '{TOKEN_SQL}') AS a FROM benchmark))),
-ph AS (SELECT DISTINCT surface || ' ' || nxt AS phrase FROM (SELECT surface, lead(surface) OVER (PARTITION BY item_id ORDER BY pos) AS nxt, pos FROM bp) WHERE nxt IS NOT NULL AND pos % 5 = 0),
+ph AS (SELECT DISTINCT surface || ' ' || nxt AS phrase FROM (SELECT surface, lead(surface) OVER (PARTITION BY item_id ORDER BY pos) AS nxt, pos FROM bp) WHERE nxt IS NOT NULL),
 g AS (SELECT doc_id, surface || ' ' || {_GRAM.format(1)} AS phrase FROM p)
 SELECT phrase, count(*) AS n, count(DISTINCT doc_id) AS documents FROM g WHERE phrase IN (SELECT phrase FROM ph) GROUP BY phrase"""
 )
 def phrase_lexicon(spark, sf_dir):
-    bench = acc.token_rows(table(spark, sf_dir, "benchmark"), "item_id")
-    nxt = F.lead("surface").over(Window.partitionBy("item_id").orderBy("pos"))
-    phrases = bench.select("pos", F.concat("surface", F.lit(" "), nxt).alias("phrase")).filter("phrase is not null and pos % 5 = 0").select("phrase").distinct()
-    surfaces = F.transform(w.tokens(F.col("text")), w.fold_token)
-    pairs = docs(spark, sf_dir).select("doc_id", surfaces.alias("s")).filter(F.size("s") > 1)
-    grams = pairs.select("doc_id", F.explode(F.zip_with(F.slice("s", F.lit(1), F.size("s") - 1), F.slice("s", F.lit(2), F.size("s") - 1), lambda a, b: F.concat(a, F.lit(" "), b))).alias("phrase"))
-    counts = grams.join(small(phrases), "phrase", "left_semi").groupBy("phrase", "doc_id").agg(F.count("*").alias("k"))
-    return counts.groupBy("phrase").agg(F.sum("k").alias("n"), F.count("*").alias("documents"))
+    """Two-word phrases of the benchmark as they stand in documents."""
+    bench = worded(table(spark, sf_dir, "benchmark"), "item_id")
+    phrases = bench.select(F.inline(mining.word_runs(2))).filter("words = 2 and phrase is not null").select("phrase").distinct()
+    runs = worded(docs(spark, sf_dir), "doc_id").select("doc_id", F.inline(mining.word_runs(2))).filter("words = 2 and phrase is not null")
+    spans = runs.join(small(phrases), "phrase", "left_semi").select(F.col("doc_id").alias("path"), F.lit("phrase").alias("type"), "phrase")
+    return mining.phrase_lexicon(spans).select("phrase", "n", F.col("files").alias("documents"))
 
 
 @query(
@@ -293,10 +287,9 @@ r AS (SELECT doc_id, min(pos) AS s, max(pos) AS e, count(*) AS n, max(CASE WHEN
 SELECT doc_id, count(*) AS clusters, CAST(sum(n) AS BIGINT) AS words FROM r WHERE longest > 0 AND (n > 1 OR longest >= 4) GROUP BY doc_id"""
 )
 def language_clusters(spark, sf_dir):
-    counts = acc.surface_counts(docs(spark, sf_dir), "lang").withColumnRenamed("surface", "word")
-    lexicon = mining.language_lexicon(counts.filter("lang = 'fr'"), counts.filter("lang <> 'fr'").select("word", "n"))
-    rows = acc.token_rows(docs(spark, sf_dir), "doc_id").select("doc_id", "pos", F.col("surface").alias("word"))
-    return mining.language_clusters(rows, lexicon, "doc_id").groupBy("doc_id").agg(F.count("*").alias("clusters"), F.sum("n").alias("words"))
+    rows = docs(spark, sf_dir).withColumn("lang", F.when(F.col("lang") == "fr", F.col("lang")))
+    lexicon = mining.language_lexicon(acc.surface_counts(rows, "lang").withColumnRenamed("surface", "word"))
+    return mining.language_clusters(worded(rows, "doc_id"), lexicon, "doc_id").groupBy("doc_id").agg(F.count("*").alias("clusters"), F.sum("n").alias("words"))
 
 
 @query(
@@ -309,13 +302,10 @@ k AS (SELECT doc_id, pos, words, max(pos + words) OVER (PARTITION BY doc_id ORDE
 SELECT doc_id, count(*) AS fused, CAST(sum(words) AS BIGINT) AS words FROM k WHERE reach IS NULL OR pos + words > reach GROUP BY doc_id"""
 )
 def multiword_fusion(spark, sf_dir):
-    bench = acc.token_rows(table(spark, sf_dir, "benchmark"), "item_id")
-    order = Window.partitionBy("item_id").orderBy("pos")
-    two = F.concat_ws(" ", "surface", F.lead("surface").over(order))
-    three = F.concat_ws(" ", "surface", F.lead("surface").over(order), F.lead("surface", 2).over(order))
-    phrases = bench.select(two.alias("two"), three.alias("three")).select(F.explode(F.array("two", "three")).alias("phrase")).filter(F.contains("phrase", F.lit(" "))).distinct()
-    rows = acc.token_rows(docs(spark, sf_dir), "doc_id").select("doc_id", "pos", F.col("surface").alias("word"))
-    return mining.longest_phrases(rows, phrases, "doc_id", 3).groupBy("doc_id").agg(F.count("*").alias("fused"), F.sum("words").cast("long").alias("words"))
+    runs = worded(table(spark, sf_dir, "benchmark"), "item_id").select(F.inline(mining.word_runs(3)))
+    phrases = runs.filter("words > 1 and phrase is not null").select("phrase")
+    found = mining.longest_phrases(worded(docs(spark, sf_dir), "doc_id"), phrases, "doc_id", 3)
+    return found.groupBy("doc_id").agg(F.count("*").alias("fused"), F.sum("words").cast("long").alias("words"))
 
 
 @query(r"SELECT page_id, CAST(len(regexp_extract_all(html, '<a [^>]*>')) AS BIGINT) AS exempt, CAST(length(regexp_replace(html, '<[^>]*>', '', 'g')) AS BIGINT) AS plain_chars FROM pages")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,3 +31,14 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """df with a broadcast hint if Catalyst bounds it below limit; else as it is, and joins shuffle."""
     estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return F.broadcast(df) if estimate <= limit else df
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df written to the shared checkpoint folder and read back, with its lineage cut; local masters get a folder of their own."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not base and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(base or tempfile.mkdtemp(prefix="lexloom-settled-"))
+    return df.checkpoint()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -82,12 +82,18 @@ def pending_writes(queue: DataFrame) -> DataFrame:
 def fold_stream(stream: DataFrame, target: str, fold: Callable[[DataFrame, DataFrame | None], DataFrame], checkpoint: str):
     """A query that folds each micro-batch into the table at target; a batch that runs again replaces its own result.
 
-    Results go to target/batch=N from target/batch=N-1, so a lost or repeated batch leaves the same table.
+    Results go to target/batch=N from target/batch=N-1, so a lost or repeated batch leaves the same table; the one before that is then of no more use and goes.
     """
 
+    def forget(spark: SparkSession, number: int) -> None:
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/batch={number}")
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         before = spark.read.parquet(f"{target}/batch={number - 1}") if number else None
         fold(batch, before).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        if number > 1:
+            forget(spark, number - 2)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

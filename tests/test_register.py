@@ -129,7 +129,7 @@ def test_edits(spark):
 
 
 def test_accounting(spark):
-    docs = spark.createDataFrame([(1, "'Tis writing then vertue MDCCXL 1739 zzz"), (2, "vertue's reward and zzz's folly."), (3, None)], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "'Tis writing then vertue MDCCXL 1739 zzz"), (2, "vertue's own kin, not zzz's"), (3, None)], "doc_id long, text string")
     entries_ = spark.createDataFrame([(s,) for s in ("'tis", "then", "vertue")], "surface string")
     rows = accounting.with_status(accounting.surface_counts(docs, "doc_id"), entries_)
     found = {(r.doc_id, r.surface): r.status for r in rows.collect()}

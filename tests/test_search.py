@@ -48,21 +48,22 @@ def test_searchable_lines(spark):
 
 def test_language_lexicon_and_clusters(spark):
     marked = spark.createDataFrame([("la", "quod", 2), ("la", "in", 2), ("la", "vis", 1)], "lang string, word string, n int")
-    lexicon = mining.language_lexicon(marked, spark.createDataFrame([("in", 5)], "word string, n int"))
+    unmarked = spark.createDataFrame([(None, "in", 5), (None, "other", 1)], "lang string, word string, n int")
+    lexicon = mining.language_lexicon(marked.unionByName(unmarked))
     assert {r.word: r.strength for r in lexicon.collect()} == {"quod": "strong", "in": "weak", "vis": "strong"}
     words = "quod in foro vis a in in b quod".split()
-    tokens = spark.createDataFrame([("d", i, w) for i, w in enumerate(words)], "key string, pos int, word string")
-    found = {(r.start, r.end) for r in mining.language_clusters(tokens, lexicon, "key").collect()}
+    texts = spark.createDataFrame([("d", words), ("e", []), ("f", None)], "key string, words array<string>")
+    found = {(r.start, r.end) for r in mining.language_clusters(texts, lexicon, "key").collect()}
     assert found == {(0, 1), (8, 8)}  # foro is unknown; vis is short and alone; weak words alone don't count
     changed = mining.with_overrides(lexicon, spark.createDataFrame([("la", "in", "strong"), ("la", "vis", "ignore")], "lang string, word string, strength string"))
     assert {r.word: r.strength for r in changed.collect()} == {"quod": "strong", "in": "strong"}
 
 
 def test_longest_phrases(spark):
-    tokens = spark.createDataFrame([("d", i, w) for i, w in enumerate("the great king of france saw great king".split())], "key string, pos int, word string")
+    texts = spark.createDataFrame([("d", "the great king of france saw great king".split()), ("e", ["saw"]), ("f", []), ("g", None)], "key string, words array<string>")
     phrases = spark.createDataFrame([("great king",), ("king of france",), ("great king of",), ("saw",)], "phrase string")
-    found = sorted((r.start, r.phrase) for r in mining.longest_phrases(tokens, phrases, "key", 3).collect())
-    assert found == [(1, "great king of"), (2, "king of france"), (5, "saw"), (6, "great king")]
+    found = sorted((r.key, r.start, r.phrase) for r in mining.longest_phrases(texts, phrases, "key", 3).collect())
+    assert found == [("d", 1, "great king of"), ("d", 2, "king of france"), ("d", 5, "saw"), ("d", 6, "great king"), ("e", 0, "saw")]
 
 
 def test_citation_patterns(spark):
