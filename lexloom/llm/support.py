@@ -56,6 +56,11 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def tidy(spark: SparkSession) -> None:
+    """Collect the driver's garbage: a loop of many small jobs leaves plans and generated classes that would pile up in its memory."""
+    spark.sparkContext._jvm.System.gc()
+
+
 class Stage:
     """Tables written in the shared folder to cut lineage; dropped when the process ends or on close()."""
 
@@ -72,6 +77,7 @@ class Stage:
             df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         finally:
             self.spark.conf.set(CLEANUP, before)
+        tidy(self.spark)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
@@ -88,11 +94,6 @@ class Stage:
         p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def tidy(spark: SparkSession) -> None:
-    """Collect the driver's garbage: a loop of many small jobs leaves plans and generated classes that would pile up in its memory."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int) -> DataFrame:
     """Inner join rows with groups, where key is unique in groups and size counts a group's rows.
 
