@@ -174,8 +174,8 @@ def test_pipeline_against_plain_python(spark, tmp_path):
     left = [r for r in rows if r[0] < 500]
     kept = {r[0] for r in brute_exact(left) if r[3]}
     left = [r for r in left if r[0] in kept]
-    classes = brute_classes(left)
-    left = [r for r in left if classes[r[0]][0] == r[0]]
+    classes = {i: c for i, c, _ in brute_classes(left)}
+    left = [r for r in left if classes[r[0]] == r[0]]
     want = {r[0]: r for r in brute_substring(left)}
     assert {p.doc_id for p in found} == set(want)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "exact_dedup", "near_dedup", "substring_dedup", "packing"]
@@ -190,3 +190,16 @@ def test_pipeline_against_plain_python(spark, tmp_path):
         assert sha(" ".join(re.findall(r"[^\x20\x09-\x0D]+", text))) == want[i][3]
         ids = [x for p in sorted((p for p in found if p.doc_id == i), key=lambda p: p.start) for x in p.ids]
         assert ids == [*library.encode(text, add_special_tokens=False).ids, 1]
+
+
+def test_pipeline_stages_of_odd_and_empty_tables(spark):
+    import corpus_pipeline
+
+    docs = frame(spark, odd_rows(), clash=True)
+    for stage in (corpus_pipeline.exact, corpus_pipeline.near, corpus_pipeline.substrings):
+        assert stage(spark, frame(spark, []), "").count() == 0
+        docs = stage(spark, docs, "")
+        assert docs.columns == frame(spark, [], clash=True).columns
+    found = [(r.doc_id, (r.text or "")[:9]) for r in docs.collect()]
+    want = [(3, " \t\n "), (4, "same text"), (6, "x"), (7, "w0 w1 w2 "), (8, "a a a a a"), (9, "ok <|endo"), (None, "no id her")]
+    assert sorted(found, key=str) == sorted(want, key=str)
