@@ -1,4 +1,4 @@
-"""A corpus from documents to packed sequences; each stage's output is written and read again as the next one's docs.
+"""From documents to packed sequences; each stage's output is written and read again as the next one's docs.
 
 Stages but the last return the columns of documents. The classifier is trained on the
 table's labels; rows it predicts bad go. Then one of each group of equal texts stays, one of
