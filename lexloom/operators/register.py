@@ -7,6 +7,8 @@ spellings (a cross-reference). expanded(surface, reading_ord, words) hold words
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,13 +119,15 @@ def violations(rows: DataFrame) -> DataFrame:
     return dangling.unionByName(uncited).unionByName(twice).unionByName(lost).distinct()
 
 
-def canonical_spelling(rows: DataFrame, listed: DataFrame, pinned: DataFrame) -> DataFrame:
+def canonical_spelling(rows: DataFrame, listed: DataFrame, pinned: DataFrame, shown: Callable[[Column], Column] = lambda surface: surface) -> DataFrame:
     """Classes whose canonical spelling isn't the expected one: a canonical entry and the surfaces
-    whose only reading is a one-word reference to it; expected is the least pinned, else the least listed member."""
+    whose only reading is a one-word reference to it; expected is the least pinned, else the least listed member.
+    Classes and lists meet by surfaces as shown; entries of one shown surface are read each by itself."""
     only = rows.groupBy("surface").agg(F.count("*").alias("n"), F.first("spellings").alias("spellings")).filter("n = 1 and size(spellings) = 1").select("surface", F.col("spellings")[0].alias("canonical"))
     heads = rows.select(F.col("surface").alias("canonical")).distinct()
     members = only.join(heads, "canonical", "left_semi")
     members = members.unionByName(members.select("canonical").distinct().select(F.col("canonical").alias("surface"), "canonical"))
+    members = members.select(shown(F.col("surface")).alias("surface"), shown(F.col("canonical")).alias("canonical"))
     seen = members.join(listed.select(F.col("word").alias("surface"), F.lit(True).alias("listed")).distinct(), "surface", "left").join(
         pinned.select(F.col("word").alias("surface"), F.lit(True).alias("pinned")).distinct(), "surface", "left"
     )
