@@ -28,7 +28,7 @@ def wide(tmp_path_factory):
 
 #: Queries over entries whose words repeat.
 REGISTER = [
-    "added_entries", "canonical_spelling", "entry_targets", "hover_info",
+    "added_entries", "canonical_spelling", "entry_targets", "hover_info", "override_violations",
 ]
 
 
