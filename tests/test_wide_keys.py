@@ -28,7 +28,7 @@ def wide(tmp_path_factory):
 
 #: Queries over entries whose words repeat.
 REGISTER = [
-    "added_entries", "canonical_spelling", "entry_targets", "hover_info", "override_violations", "patched_panel", "register_dangles", "register_reload",
+    "added_entries", "canonical_spelling", "entry_targets", "hover_info", "override_violations", "patched_panel", "register_dangles", "register_reload", "register_structure",
 ]
 
 
