@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,3 +43,14 @@ def settled(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
         sc.setCheckpointDir(base or tempfile.mkdtemp(prefix="lexloom-settled-"))
     return df.checkpoint()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df written once, compressed by columns, to the shared checkpoint folder and read back: for what several parts of a query read."""
+    sc = df.sparkSession.sparkContext
+    base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not base and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
+    path = f"{base.rstrip('/')}/kept-{uuid.uuid4().hex}" if base else "file://" + tempfile.mkdtemp(prefix="lexloom-kept-")
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -31,7 +31,7 @@ REGISTER = [
     "added_entries", "canonical_spelling", "entry_targets", "hover_info", "override_violations", "patched_panel", "register_dangles", "register_reload", "register_structure",
 ]
 #: Queries over editions whose paths repeat.
-CATALOGUE = ["import_reports", "borrowable_editions", "listed_works", "labelled_changes", "loaded_catalogue", "unaccounted_occurrences"]
+CATALOGUE = ["import_reports", "borrowable_editions", "listed_works", "labelled_changes", "loaded_catalogue", "unaccounted_occurrences", "violations_of_collection"]
 
 
 @pytest.mark.parametrize("name", REGISTER + CATALOGUE)
