@@ -11,12 +11,12 @@ recurrence of edit distance: the band's 2*EDITS+1 cells of a column are bits of
 slides down the diagonal. A line of EDITS characters or fewer has an empty segment: such lines
 meet each other by length, and longer lines by a common character, which every link needs.
 
-A segment that more than HEAVY lines of one length hold doesn't make pairs of all of them. First
-each line that probes it is compared with the commonest of those lines alone, and what is alike
-makes classes. Then lines of different classes that such segments bring together, and whose
-counts of common letters differ by no more than EDITS edits can make them, are compared. So two
-alike lines are linked or of one class by other links, and links number a small multiple of the
-lines: n_links counts the links found, which span the classes, not all pairs within a family.
+A segment that more than HEAVY lines of one length hold doesn't send its lines to the edit
+distance pair by pair. Each line that probes it first meets the commonest of those lines alone, which tells the
+lines of such segments; then these meet each other under their crowded keys, where a pair comes
+out only if the counts of common letters differ by no more than EDITS edits can make them. So all links are found
+and n_links counts every other line within EDITS; what still grows with the square of a
+crowded segment's lines is the comparison of letter counts, dealt out by SPREAD lines.
 
 Defined cases: null text has no lines; null ids count as occurrences, first_doc_id ignores
 them; repeated rows add occurrences; other columns are not read.
@@ -38,6 +38,9 @@ EDITS = 2
 #: Lines of one length that may hold a segment and still be compared pair by pair.
 HEAVY = 32
 
+#: Lines of a crowded segment that one task compares with all others of it.
+SPREAD = 1024
+
 #: Segment numbers of the keys by which lines of EDITS characters or fewer meet each other and longer lines.
 TINY, CHARACTER = -1, -2
 
@@ -196,7 +199,7 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     wanted = pairs.select(F.col("a").alias("id")).distinct().unionByName(pairs.select(F.col("b").alias("id")).distinct()).distinct()
     suspects = text.join(small(wanted), "id", "left_semi")
     both = pairs.join(suspects.select(F.col("id").alias("a"), F.col("line").alias("x"), F.char_length("line").alias("nx")), "a")
-    both = both.join(suspects.select(F.col("id").alias("b"), F.col("line").alias("y"), F.char_length("line").alias("ny")), "b")
+    both = both.repartition(_tasks(lines), "b").join(suspects.select(F.col("id").alias("b"), F.col("line").alias("y"), F.char_length("line").alias("ny")), "b")
     both = both.filter(_characters_apart("x", "y") <= 2 * EDITS)
     turned = F.col("nx") > F.col("ny")
     distance = band_distance(F.when(turned, F.col("y")).otherwise(F.col("x")), F.when(turned, F.col("x")).otherwise(F.col("y")))
@@ -211,33 +214,41 @@ def line_links(lines: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame]:
     # a line's weight: its occurrences, and bits of its id between lines of as many
     weight = F.shiftleft(F.least("n_rows", F.lit(2**18 - 1)), 44).bitwiseOR(F.col("id").bitwiseAND(F.lit(2**44 - 1)))
     index = index_keys(lines.withColumn("weight", weight), "weight")
-    heavy = stage.write(index.groupBy("key").agg(F.count("*").alias("held"), F.max("weight").alias("top")).filter(F.col("held") > HEAVY).select("key", "top"), "heavy")
+    heavy = index.groupBy("key").agg(F.count("*").alias("held"), F.max("weight").alias("top")).filter(F.col("held") > HEAVY)
+    heavy = stage.write(heavy.select("key", "top", (1 + F.floor(F.col("held") / SPREAD)).cast("int").alias("parts")), "heavy")
     held = index.join(small(heavy), "key", "left").filter("top is null or top = weight").select("key", F.col("id").alias("a"), F.col("top").isNotNull().alias("is_heavy"))
     probe = probe_keys(lines).select("key", "longer", F.col("id").alias("b"))
     once = F.col("longer") | F.col("is_heavy") | (F.col("a") < F.col("b"))  # of lines of one length each pair meets twice
     met = probe.join(held.hint("shuffle_hash"), "key").filter(once & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "is_heavy")
     pairs = stage.write(met.groupBy("a", "b").agg(F.max("is_heavy").alias("is_heavy")), "pairs")
-    links = stage.write(_verified(pairs.select("a", "b"), lines), "links")
-    labels = components(links.select("a", "b"), stage, "classes")
-    if heavy.isEmpty():
-        return links, labels
-    crowd = pairs.filter("is_heavy")
-    crowd = crowd.select(F.col("a").alias("id")).distinct().unionByName(crowd.select(F.col("b").alias("id")).distinct()).distinct()
-    crowd = stage.write(lines.join(small(crowd), "id", "left_semi").join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", "line", "n_chars", F.coalesce("label", "id").alias("cls"), _letters().alias("letters")), "crowd")
-    own = lambda keys, name: keys.join(small(heavy.select("key")), "key", "left_semi").join(small(crowd.select("id", F.col("cls").alias(f"c{name}"), F.col("letters").alias(f"g{name}"))), "id").withColumnRenamed("id", name)
-    left, right = stage.write(own(index_keys(crowd), "a"), "crowd-index"), stage.write(own(probe_keys(crowd), "b"), "crowd-probe")
-    apart = (F.col("longer") | (F.col("a") < F.col("b"))) & (F.col("ca") != F.col("cb")) & (_letters_apart("ga", "gb") <= 2 * EDITS)
-    more = right.join(left, (left["key"] == right["key"]) & apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = stage.write(_verified(stage.write(more, "crowd-pairs"), lines), "crowd-links")
-    if more.isEmpty():
-        return links, labels
-    links = links.unionByName(more)
-    return links, components(links.select("a", "b"), stage, "all-classes")
+    wanted = pairs.filter("not is_heavy").select("a", "b")
+    if not heavy.isEmpty():
+        wanted = stage.write(wanted.unionByName(_crowded(pairs.filter("is_heavy"), heavy, lines, stage)).distinct(), "all-pairs")
+    links = stage.write(_verified(wanted, lines), "links")
+    return links, components(links.select("a", "b"), stage, "classes")
+
+
+def _crowded(pairs: DataFrame, heavy: DataFrame, lines: DataFrame, stage: Stage) -> DataFrame:
+    """a and b of all lines that share a crowded key and may be alike by their letters; pairs name the lines that probe or hold one."""
+    ends = pairs.select(F.col("a").alias("id")).distinct().unionByName(pairs.select(F.col("b").alias("id")).distinct()).distinct()
+    crowd = stage.write(lines.join(small(ends), "id", "left_semi").select("id", "line", "n_chars", _letters().alias("letters")), "crowd")
+    letters = lambda name: small(crowd.select(F.col("id").alias(name), F.col("letters").alias(f"g{name}")))
+    own = lambda keys, part, name: keys.join(small(heavy.select("key", "parts")), "key").withColumn("part", part).withColumnRenamed("id", name).drop("parts").join(letters(name), name)
+    left = stage.write(own(index_keys(crowd), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"), "a"), "crowd-index")
+    right = stage.write(own(probe_keys(crowd), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "b"), "crowd-probe")
+    once = (F.col("longer") | (F.col("a") < F.col("b"))) & (F.col("a") != F.col("b"))
+    met = right.repartition(_tasks(lines), "key", "part").join(left.hint("shuffle_hash"), ["key", "part"]).filter(once & (_letters_apart("ga", "gb") <= 2 * EDITS))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _tasks(df: DataFrame) -> int:
+    """Tasks for steps whose work is not told by their bytes, which Spark would put together in a few."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
 
 
 def line_classes(docs: DataFrame) -> DataFrame:
     """A row for each distinct line: its id (a hash of the line), length, occurrences, first document,
-    class (the smallest id of linked lines), number of links found and whether it stands for its class."""
+    class (the smallest id of linked lines), number of links and whether it stands for its class."""
     spark = docs.sparkSession
     prepare(spark)
     stage = Stage(spark, "line-dedup")

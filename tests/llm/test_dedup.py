@@ -338,6 +338,15 @@ def test_line_dedup_of_tiny_lines_and_large_families(spark, tmp_path):
     check_lines(queries.op9_line_dedup(spark, str(tmp_path)).collect(), collections.Counter(lines))
 
 
+def test_line_dedup_counts_all_links_of_a_crowded_segment(spark):
+    rnd = random.Random(18)
+    base = "".join(rnd.choice("abcdefgh é") for _ in range(60)).strip()
+    lines = sorted({strip(edited(rnd, base, rnd.randint(0, 3))) for _ in range(150)} | {f"n{k}" for k in range(100, 160)} | {"0" * 45 + f"{k:06d}" for k in range(0, 60)})
+    found = line_dedup.line_classes(frame(spark, [(i, x, "en", "s", 0) for i, x in enumerate(lines)])).collect()
+    row, near = check_lines(found, collections.Counter(lines))
+    assert [row[i].n_links for i in range(len(lines))] == [len(near[i]) for i in range(len(lines))]
+
+
 def test_line_dedup_of_an_ordered_chain(spark):
     lines = ["x" * k + "y" * (500 - k) for k in range(0, 500, 2)]
     found = line_dedup.line_classes(frame(spark, [(i, x, "en", "s", 0) for i, x in enumerate(lines)])).collect()
