@@ -13,7 +13,7 @@ Bands of ROWS coordinates make groups. In a group one centre, drawn by a hash of
 is compared with every member of another class; the links' components become the classes,
 the centre leaves its group, and groups of one class are done. So every pair of a group is
 compared or already of one class. Each later round draws GROWTH times as many centres, so groups
-end within a few rounds. Groups that after REFINE_AFTER rounds still hold more than LARGE
+end within a few rounds; a round meets its groups in one join, which brings each member its centres. Groups that after REFINE_AFTER rounds still hold more than LARGE
 members of different classes (a family of copies with ever more edits, say) are not compared
 on: their members go on in groups by prefix filtering, which loses no link. Elements are
 ordered by the number of these documents that have them; two documents at the threshold share
@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.llm.components import components
-from lexloom.llm.support import LAST, Stage, attach, prepare, row_key, row_tag, with_rows
+from lexloom.llm.support import HOT_SHARE, LAST, Stage, attach, prepare, row_key, row_tag, with_rows
 from lexloom.llm.words import grams, mix, names, spans, strings
 from lexloom.session import small
 
@@ -164,12 +164,22 @@ def _gathered(members: DataFrame) -> DataFrame:
 
 
 def _prefixes(sets: DataFrame, ids: DataFrame, threshold: float, stage: Stage) -> DataFrame:
-    """band (an element), id, place of the element from the rarest on, and n elements, for the prefixes of ids' sets."""
+    """band (an element), id, place of the element from the rarest on, and n elements, for the prefixes of ids' sets.
+
+    No row meets its element's count in a join: elements that only one set has are left out and
+    counted by difference, those of more than 1/HOT_SHARE of all rows (HOT_SHARE at most) come last, by
+    name, and of the others the holders are gathered once with their number.
+    """
     units = stage.write(sets.join(ids, "id", "left_semi").mapInArrow(_exploded, "id long, band long, n long"), "units")
-    n_units = units.count()
-    df = units.groupBy("band").agg(F.count("*").alias("df"))
-    placed = attach(units, df, "band", "df", n_units).withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("df", "band")))
-    prefix = placed.filter((F.col("place") <= F.col("n") - F.ceil(F.lit(threshold - 1e-9) * F.col("n")) + 1) & (F.col("df") > 1))
+    cut = max(64, units.count() // HOT_SHARE)
+    hot = [r["band"] for r in units.groupBy("band").agg(F.count("*").alias("df")).filter(F.col("df") > cut).select("band").collect()]
+    is_hot = F.col("band").isin(hot) if hot else F.lit(False)
+    held = units.filter(~is_hot).groupBy("band").agg(F.count("*").alias("df"), F.collect_list(F.struct("id", "n")).alias("sets")).filter("df > 1")
+    common = held.select("band", "df", F.inline("sets")).unionByName(units.filter(is_hot).select("band", F.lit(LAST).alias("df"), "id", "n"))
+    of_set = Window.partitionBy("id")
+    placed = common.withColumns({"place": F.row_number().over(of_set.orderBy("df", "band")), "shared": F.count("*").over(of_set)})
+    placed = placed.withColumn("place", F.col("n") - F.col("shared") + F.col("place"))
+    prefix = placed.filter(F.col("place") <= F.col("n") - F.ceil(F.lit(threshold - 1e-9) * F.col("n")) + 1)
     return prefix.select("band", "id", F.col("place").cast("long").alias("place"), "n")
 
 
@@ -228,6 +238,15 @@ def _may_link(threshold: float):
     return test
 
 
+def _centres(classed: DataFrame, k: int) -> DataFrame:
+    """band, held and the centres of each group of several classes: the first by hash in each of GROWTH**k slots, which its members are dealt to."""
+    draw = F.struct(F.xxhash64("id", "band", F.lit(k)).alias("h"), *[F.col(c).alias(c) for c in ("id", "cls", "place", "n")])
+    slot = F.pmod(F.xxhash64("id", "band", F.lit(k + 1000)), F.lit(GROWTH**k)).alias("slot")
+    slots = classed.groupBy("band", slot).agg(F.count("*").alias("held"), F.min("cls").alias("low"), F.max("cls").alias("high"), F.min(draw).alias("first"))
+    groups = slots.groupBy("band").agg(F.sum("held").alias("held"), F.min("low").alias("low"), F.max("high").alias("high"), F.collect_list("first").alias("centres"))
+    return groups.filter("low <> high").select("band", "held", "centres")
+
+
 def _joined_classes(labels: DataFrame | None, found: DataFrame, stage: Stage, name: str, n_rows: int) -> DataFrame:
     """node and label after new links: only the classes that they join are solved anew."""
     if labels is None:
@@ -253,39 +272,34 @@ def _judged(docs: DataFrame, threshold: float) -> DataFrame:
     worded = rows.filter(F.col("content").isNotNull())
     nodes = worded.groupBy("content").agg(F.count("*").alias("size"), F.min(F.struct("key", "tag")).alias("first"), F.first("bands").alias("bands"))
     nodes = stage.write(nodes.select(F.xxhash64("content").alias("id"), "content", "size", "first", "bands"), "nodes")
-    banded = nodes.select(F.explode("bands").alias("band"), "id")
-    shared = banded.groupBy("band").agg(F.count("*").alias("held")).filter("held > 1")
     no = F.lit(None).cast("long")
-    members = attach(banded, shared, "band", "held", n_rows).select("band", "id", no.alias("place"), no.alias("n"))
-    holders = stage.write(_gathered(members), "holders-0")
-    suspects = stage.write(nodes.join(holders.select("id"), "id", "left_semi").select("id", "first.key", "first.tag"), "suspects")
-    sets = stage.write(texts.join(small(suspects), ["key", "tag"]).select("id", "text").mapInArrow(_sets, "id long, units binary").dropDuplicates(["id"]), "sets")
-    labels, k = None, 0
+    holders = nodes.select("id", F.transform("bands", lambda b: F.struct(b.alias("band"), no.alias("place"), no.alias("n"))).alias("entries"))
+    labels, sets, k = None, None, 0
     while not holders.isEmpty():
         if labels is None:
             classed = holders.withColumn("cls", F.col("id"))
         else:
             classed = holders.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("cls", F.coalesce("label", "id")).drop("label")
         classed = classed.select("id", "cls", F.inline("entries"))
-        draw = F.struct(F.xxhash64("id", "band", F.lit(k)).alias("h"), F.col("id").alias("id"), F.col("cls").alias("cls"))
-        state = classed.groupBy("band").agg(F.count("*").alias("held"), F.min("cls").alias("low"), F.max("cls").alias("high"), F.min(draw).alias("first")).filter("low <> high")
-        open_rows = stage.write(attach(classed, state.select("band", "held", "first"), "band", "held", n_rows), f"open-{k}")
         if k == REFINE_AFTER:
+            state = classed.groupBy("band").agg(F.count("*").alias("held"), F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low <> high")
+            open_rows = stage.write(attach(classed, state.select("band", "held"), "band", "held", n_rows), f"open-{k}")
             large = open_rows.filter(F.col("held") > LARGE).select("id").distinct()
             small_groups = open_rows.filter(F.col("held") <= LARGE).select("band", "id", "place", "n")
             holders = stage.write(_gathered(small_groups.unionByName(_prefixes(sets, large, threshold, stage))), f"holders-{k}-fine")
             k += 1
             continue
-        # the first by hash, and each other member with a chance that makes GROWTH**k centres on average
-        centre = (F.col("id") == F.col("first.id")) | (F.pmod(F.xxhash64("id", "band", F.lit(k + 1000)), F.col("held")) < GROWTH**k - 1)
-        marked = open_rows.withColumn("is_centre", centre).drop("first")
-        centres = marked.filter("is_centre").groupBy("band").agg(F.first("held").alias("held"), F.collect_list(F.struct("id", "cls", "place", "n")).alias("centres"))
-        met = attach(marked.drop("held"), centres, "band", "held", n_rows).select("id", F.explode(F.filter("centres", _may_link(threshold))).alias("c"))
-        pairs = met.select(F.col("id").alias("member"), F.col("c.id").alias("centre")).distinct()
+        met = attach(classed, _centres(classed, k), "band", "held", n_rows)
+        met = met.withColumns({"is_centre": F.exists("centres", lambda c: c["id"] == F.col("id")), "centres": F.filter("centres", _may_link(threshold))})
+        open_rows = stage.write(met.select("band", "id", "place", "n", "is_centre", F.transform("centres", lambda c: c["id"]).alias("centres")), f"open-{k}")
+        if sets is None:
+            suspects = stage.write(nodes.join(open_rows.select("id").distinct(), "id", "left_semi").select("id", "first.key", "first.tag"), "suspects")
+            sets = stage.write(texts.join(small(suspects), ["key", "tag"]).select("id", "text").mapInArrow(_sets, "id long, units binary").dropDuplicates(["id"]), "sets")
+        pairs = open_rows.select(F.col("id").alias("member"), F.explode("centres").alias("centre")).distinct()
         found = _compare(pairs, sets, threshold, stage, f"round-{k}", n_rows).select("a", "b")
         if not found.isEmpty():
             labels = _joined_classes(labels, found, stage, f"classes-{k}", n_rows)
-        holders = stage.write(_gathered(marked.filter(~F.col("is_centre"))), f"holders-{k + 1}")
+        holders = stage.write(_gathered(open_rows.filter(~F.col("is_centre"))), f"holders-{k + 1}")
         k += 1
     content = nodes.select("id", "content", "size", "first")
     if labels is not None:
