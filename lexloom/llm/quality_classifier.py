@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from lexloom.llm.crf import ChainCRF, fit
 from lexloom.llm.lines import line_features
 from lexloom.llm.support import prepare
-from lexloom.llm.words import strings
+from lexloom.llm.words import slices, strings
 
 TRAIN_DOCS = 4000
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
@@ -41,7 +41,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS) -> Cha
     sample = usable.select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_docs).groupBy("doc_id").agg(F.min("quality").alias("quality"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2)):
             x, rows, _ = line_features(*strings(batch.column(2)))
             x = x.astype(np.float32)
             blobs = [x[a:b].tobytes() for a, b in zip(rows[:-1], rows[1:], strict=True)]
@@ -61,7 +61,7 @@ def scored(docs: DataFrame, model: ChainCRF | None) -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2)):
             score = np.full(batch.num_rows, 0.5)
             if model is not None and batch.num_rows:
                 x, rows, length = line_features(*strings(batch.column(2)))
@@ -88,7 +88,7 @@ def accepted(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS) ->
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, at)):
             if model is not None and batch.num_rows:
                 x, rows, length = line_features(*strings(batch.column(at)))
                 good, weight = model.marginals(x, rows)[:, 1], length + 1.0

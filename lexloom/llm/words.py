@@ -7,8 +7,11 @@ document, task and run.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -21,6 +24,9 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 #: Bytes that are hashed at once; a longer word makes a longer piece.
 CHUNK = 1 << 20
 
+#: Bytes of text whose words or lines are held as arrays at once; these take tens of times the text.
+SLICE = 1 << 20
+
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -44,6 +50,15 @@ def _power(kind: str, base: np.uint64, n: int) -> np.ndarray:
     return have[:n]
 
 
+def slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """All rows of a batch in runs, each begun within SLICE bytes of the text in column at; a row is never split."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    run = (np.cumsum(sizes) - sizes) // SLICE
+    cuts = [0, *(np.flatnonzero(run[1:] != run[:-1]) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield batch.slice(a, b - a)
+
+
 def strings(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the n+1 offsets of its rows; null is empty."""
     if isinstance(column, pa.ChunkedArray):

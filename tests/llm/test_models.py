@@ -3,9 +3,11 @@ from __future__ import annotations
 import itertools
 import random
 import time
+import types
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lexloom.llm import html_extract, quality_classifier
@@ -203,3 +205,18 @@ def test_pipeline_stages_of_odd_and_empty_tables(spark):
     found = [(r.doc_id, (r.text or "")[:9]) for r in docs.collect()]
     want = [(3, " \t\n "), (4, "same text"), (6, "x"), (7, "w0 w1 w2 "), (8, "a a a a a"), (9, "ok <|endo"), (None, "no id her")]
     assert sorted(found, key=str) == sorted(want, key=str)
+
+
+def test_classifier_holds_the_lines_of_little_text_at_once(monkeypatch):
+    text = "a line of words here\n" * 5_000  # 105,000 bytes
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array([None if i % 20 == 7 else text for i in range(60)])], ["doc_id", "text"])
+    seen, features = [], quality_classifier.line_features
+    width = features(np.zeros(0, np.uint8), np.zeros(2, np.int64))[0].shape[1]
+    model = quality_classifier.ChainCRF(np.c_[np.zeros((2, width)), [0.0, 1.0]], np.zeros((2, 2)), np.zeros(width), np.ones(width))
+    monkeypatch.setattr(quality_classifier, "prepare", lambda spark: None)
+    monkeypatch.setattr(quality_classifier, "train", lambda *more: model)
+    monkeypatch.setattr(quality_classifier, "line_features", lambda data, offsets: seen.append(len(data)) or features(data, offsets))
+    docs = types.SimpleNamespace(sparkSession=None, columns=["doc_id", "text"], schema=None, mapInArrow=lambda run, schema: run)
+    out = list(quality_classifier.accepted(docs, None)(iter([batch, batch.slice(0, 0)])))
+    assert [x for b in out for x in b.column(0).to_pylist()] == list(range(60))
+    assert max(seen) < (1 << 20) + len(text) and sum(seen) == 57 * len(text)
