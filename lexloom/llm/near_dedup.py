@@ -44,8 +44,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.llm.components import components
-from lexloom.llm.support import HOT_SHARE, LAST, Stage, attach, prepare, row_key, row_tag, with_rows
-from lexloom.llm.words import grams, mix, names, spans, strings
+from lexloom.llm.support import LAST, Stage, attach, prepare, row_key, row_tag, with_rows
+from lexloom.llm.words import grams, mix, names, slices, spans, strings
 from lexloom.session import small
 
 SHINGLE = 5
@@ -55,6 +55,9 @@ MARGIN = 4.0
 REFINE_AFTER, LARGE = 2, 16
 GROWTH = 3
 
+#: Elements of most sets that come last in prefix filtering, whatever their numbers; the order decides on cost alone.
+COMMON = 10_000
+
 _UNIT = np.uint64(0x9FB21C651E98DF25)
 _DART = np.uint64(0xD1342543DE82EF95)
 
@@ -136,7 +139,7 @@ def _lists(bands: np.ndarray) -> pa.ListArray:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, 2)):
         n = batch.num_rows
         row, unit = elements(batch.column(2))
         weight = np.bincount(row, minlength=n)
@@ -149,13 +152,32 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(contents, pa.binary()), pa.array(weight), bands], ["key", "tag", "content", "weight", "bands"])
 
 
-def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """band (an element) and the number of a batch's sets that have it."""
     for batch in batches:
-        sets = [_units(x) for x in batch.column(1).to_pylist()]
-        sizes = np.array([len(x) for x in sets], np.int64)
-        row = np.repeat(np.arange(len(sets)), sizes)
-        flat = np.concatenate(sets).astype(np.int64) if sets else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(flat), pa.array(sizes[row])], ["id", "band", "n"])
+        band, held = np.unique(np.concatenate([np.zeros(0, np.uint64), *(_units(x) for x in batch.column(1).to_pylist())]).astype(np.int64), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(band), pa.array(held.astype(np.int64))], ["band", "held"])
+
+
+def _dealt(common: np.ndarray, threshold: float):
+    """For each set all elements that are not common, without a place, and of the common ones, which come last by name, those that its prefix reaches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [_units(x).astype(np.int64) for x in batch.column(1).to_pylist()]
+            n = np.array([len(x) for x in sets], np.int64)
+            row, band = np.repeat(np.arange(len(sets)), n), np.concatenate([np.zeros(0, np.int64), *sets])
+            is_common = np.isin(band, common)
+            commons = np.bincount(row[is_common], minlength=len(sets))
+            so_far = np.cumsum(is_common)
+            before = np.r_[0, so_far][np.cumsum(n) - n]
+            place = n[row] - commons[row] + so_far - before[row]
+            keep = ~is_common | (place <= n[row] - np.ceil((threshold - 1e-9) * n[row]) + 1)
+            row, band, place, is_common = row[keep], band[keep], place[keep], is_common[keep]
+            columns = [batch.column(0).take(pa.array(row)), pa.array(band), pa.array(n[row]), pa.array(commons[row]), pa.array(place, mask=~is_common)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "band", "n", "commons", "place"])
+
+    return run
 
 
 def _gathered(members: DataFrame) -> DataFrame:
@@ -166,25 +188,24 @@ def _gathered(members: DataFrame) -> DataFrame:
 def _prefixes(sets: DataFrame, ids: DataFrame, threshold: float, stage: Stage) -> DataFrame:
     """band (an element), id, place of the element from the rarest on, and n elements, for the prefixes of ids' sets.
 
-    No row meets its element's count in a join: elements that only one set has are left out and
-    counted by difference, those of more than 1/HOT_SHARE of all rows (HOT_SHARE at most) come last, by
-    name, and of the others the holders are gathered once with their number.
+    No row meets its element's count in a join. The COMMON elements of most sets come last, by name, so a
+    set's own row tells their places, and those behind its prefix are not dealt out. Of the others the holders
+    are gathered once with their number; elements that only one set has are left out and counted by difference.
     """
-    units = stage.write(sets.join(ids, "id", "left_semi").mapInArrow(_exploded, "id long, band long, n long"), "units")
-    cut = max(64, units.count() // HOT_SHARE)
-    hot = [r["band"] for r in units.groupBy("band").agg(F.count("*").alias("df")).filter(F.col("df") > cut).select("band").collect()]
-    is_hot = F.col("band").isin(hot) if hot else F.lit(False)
-    held = units.filter(~is_hot).groupBy("band").agg(F.count("*").alias("df"), F.collect_list(F.struct("id", "n")).alias("sets")).filter("df > 1")
-    common = held.select("band", "df", F.inline("sets")).unionByName(units.filter(is_hot).select("band", F.lit(LAST).alias("df"), "id", "n"))
+    mine = sets.join(ids, "id", "left_semi").select("id", "units")
+    counts = mine.mapInArrow(_held, "band long, held long").groupBy("band").agg(F.sum("held").alias("held")).filter("held > 64")
+    common = np.array([r["band"] for r in counts.orderBy(F.desc("held"), "band").limit(COMMON).collect()], np.int64)
+    units = stage.write(mine.mapInArrow(_dealt(common, threshold), "id long, band long, n long, commons long, place long"), "units")
+    held = units.filter("place is null").groupBy("band").agg(F.count("*").alias("df"), F.collect_list(F.struct("id", "n", "commons")).alias("sets")).filter("df > 1")
     of_set = Window.partitionBy("id")
-    placed = common.withColumns({"place": F.row_number().over(of_set.orderBy("df", "band")), "shared": F.count("*").over(of_set)})
-    placed = placed.withColumn("place", F.col("n") - F.col("shared") + F.col("place"))
-    prefix = placed.filter(F.col("place") <= F.col("n") - F.ceil(F.lit(threshold - 1e-9) * F.col("n")) + 1)
-    return prefix.select("band", "id", F.col("place").cast("long").alias("place"), "n")
+    rare = held.select("band", "df", F.inline("sets")).withColumns({"rank": F.row_number().over(of_set.orderBy("df", "band")), "shared": F.count("*").over(of_set)})
+    rare = rare.select("band", "id", (F.col("n") - F.col("commons") - F.col("shared") + F.col("rank")).alias("place"), "n")
+    placed = rare.unionByName(units.filter("place is not null").select("band", "id", "place", "n"))
+    return placed.filter(F.col("place") <= F.col("n") - F.ceil(F.lit(threshold - 1e-9) * F.col("n")) + 1)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, 1)):
         row, unit = elements(batch.column(1))
         order = np.argsort(row, kind="stable")
         raw = np.ascontiguousarray(unit[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()

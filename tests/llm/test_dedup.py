@@ -155,6 +155,43 @@ def test_near_dedup_at_the_border_of_similarity(spark):
     assert found >= 798
 
 
+def test_near_dedup_prefixes_hold_few_of_the_common_elements(spark):
+    """100 sets of 200 common elements and 20 of their own: a prefix of 45 takes the own ones and the first 25 common ones."""
+    pack = lambda xs: b"".join(int(x).to_bytes(5, "little") for x in sorted(xs))
+    common = [7 * k + 3 for k in range(200)]
+    rows = [(i, bytearray(pack(common + [10_000 + 100 * i + k for k in range(20)]))) for i in range(100)]
+    sets = spark.createDataFrame(rows, "id long, units binary")
+    stage, written = near_dedup.Stage(spark, "test"), {}
+
+    class Watched:
+        def write(self, df, name):
+            written[name] = stage.write(df, name)
+            return written[name]
+
+    found = near_dedup._prefixes(sets, sets.select("id"), 0.8, Watched()).collect()
+    assert written["units"].count() == 100 * (20 + 25)
+    assert sorted((r["band"], r["id"], r["place"], r["n"]) for r in found) == sorted((x, i, 21 + k, 220) for i in range(100) for k, x in enumerate(common[:25]))
+
+
+def test_near_dedup_prefixes_meet_every_similar_pair(spark, monkeypatch):
+    """Whatever number of elements counts as common, similar sets meet where both have enough left to share."""
+    rnd = random.Random(11)
+    pack = lambda xs: b"".join(int(x).to_bytes(5, "little") for x in sorted(xs))
+    base = rnd.sample(range(1 << 30), 60)
+    sets = {i: {x if rnd.random() > 0.08 else rnd.randrange(1 << 30) for x in base} for i in range(120)}
+    df = spark.createDataFrame([(i, bytearray(pack(s))) for i, s in sets.items()], "id long, units binary")
+    like = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert like
+    for most in (0, 7, 10_000):
+        monkeypatch.setattr(near_dedup, "COMMON", most)
+        groups = collections.defaultdict(list)
+        for r in near_dedup._prefixes(df, df.select("id"), 0.8, near_dedup.Stage(spark, "test")).collect():
+            groups[r["band"]].append(r)
+        left = lambda x, y: 1 + min(x["n"] - x["place"], y["n"] - y["place"])
+        met = {(x["id"], y["id"]) for g in groups.values() for x in g for y in g if x["id"] < y["id"] and left(x, y) >= 0.8 / 1.8 * (x["n"] + y["n"]) - 1e-6}
+        assert like <= met
+
+
 def test_components_of_a_chain_in_the_order_of_ids(spark):
     from lexloom.llm.components import components
     from lexloom.llm.support import Stage
