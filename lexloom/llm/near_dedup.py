@@ -16,7 +16,7 @@ compared or already of one class. Each later round draws GROWTH times as many ce
 end within a few rounds; a round meets its groups in one join, which brings each member its centres. Groups that after REFINE_AFTER rounds still hold more than LARGE
 members of different classes (a family of copies with ever more edits, say) are not compared
 on: their members go on in groups by prefix filtering, which loses no link. Elements are
-ordered by the number of these documents that have them; two documents at the threshold share
+ordered by the number of these documents that have them, the commonest last by name; two documents at the threshold share
 one of the rarest 20 % (and one) of each, and at the first they share enough elements must be
 left in both. Edits are rare elements, so documents far from their family meet nobody.
 Comparisons are exact: the two element sets, 40 bits an element, are intersected.
