@@ -12,7 +12,7 @@ their weighted Jaccard similarity, the sum of the smaller over that of the large
 Bands of ROWS coordinates make groups. In a group one centre, drawn by a hash of the group,
 is compared with every member of another class; the links' components become the classes,
 the centre leaves its group, and groups of one class are done. So every pair of a group is
-compared or already of one class. Each later round draws GROWTH times as many centres, so groups
+compared or already of one class. Later rounds draw GROWTH times as many centres and more, so groups
 end within a few rounds; a round meets its groups in one join, which brings each member its centres. Groups that after REFINE_AFTER rounds still hold more than LARGE
 members of different classes (a family of copies with ever more edits, say) are not compared
 on: their members go on in groups by prefix filtering, which loses no link. Elements are
@@ -25,7 +25,8 @@ Documents with equal shingle counts are one node from the start, named by a 64-b
 counts and not by doc_id, so null and repeated ids mix nothing up. Documents of one to four words
 have the one shingle of all their words; documents without words are classes of their own.
 A node is one row that holds its bands, or later its elements: classes are looked up once a node
-and go along when its entries are dealt to groups.
+and go along when its entries are dealt to groups. Where the table of classes is light it goes to
+all tasks instead, and entries stay rows of their own.
 
 Defined cases: null text has no words; a null doc_id sorts after all others, and a class of null
 ids alone has a null class_id; repeated rows are in one class and share the verdict
@@ -43,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.llm.components import components
+from lexloom.llm.components import components, solved
 from lexloom.llm.support import LAST, Stage, attach, prepare, row_key, row_tag, with_rows
 from lexloom.llm.words import grams, mix, names, slices, spans, strings
 from lexloom.session import small
@@ -55,6 +56,10 @@ MARGIN = 4.0
 REFINE_AFTER, LARGE = 2, 16
 GROWTH = 3
 
+#: Bytes of a table up to which it goes to all tasks whole, and edges up to which one task solves them. Beyond, tables are shuffled and edges contracted.
+LIGHT = 4 << 20
+SOLVED = 500_000
+
 #: Elements of most sets that come last in prefix filtering, whatever their numbers; the order decides on cost alone.
 COMMON = 10_000
 
@@ -239,12 +244,26 @@ def _verify(threshold: float):
     return lambda df: df.mapInArrow(run, "a long, b long, similarity double").filter(F.col("similarity") >= threshold)
 
 
+def _light(df: DataFrame) -> bool:
+    """Whether Catalyst bounds df below LIGHT; so it does with a written table, not with joins of large ones."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= LIGHT
+
+
+def _met(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int) -> DataFrame:
+    """attach(), but light groups go to all rows whole."""
+    return rows.join(F.broadcast(groups), key) if _light(groups) else attach(rows, groups, key, size, n_rows)
+
+
 def _compare(pairs: DataFrame, sets: DataFrame, threshold: float, stage: Stage, name: str, n_rows: int) -> DataFrame:
     """Links among pairs (member, centre): a centre's set goes out to its members, hot centres by broadcast."""
     pairs = stage.write(pairs, f"{name}-pairs")
-    member = pairs.join(sets.select(F.col("id").alias("member"), F.col("units").alias("mine")), "member")
-    centres = pairs.groupBy("centre").agg(F.count("*").alias("held")).join(sets.select(F.col("id").alias("centre"), F.col("units").alias("its")), "centre")
-    rows = attach(member, centres, "centre", "held", n_rows).select(F.col("member").alias("a"), F.col("centre").alias("b"), "mine", "its")
+    member = small(pairs, LIGHT).join(sets.select(F.col("id").alias("member"), F.col("units").alias("mine")), "member")
+    its = sets.select(F.col("id").alias("centre"), F.col("units").alias("its"))
+    if _light(pairs) and _light(centres := stage.write(its.join(F.broadcast(pairs.select("centre")), "centre", "left_semi"), f"{name}-centres")):
+        rows = member.join(F.broadcast(centres), "centre")
+    else:
+        rows = attach(member, pairs.groupBy("centre").agg(F.count("*").alias("held")).join(its, "centre"), "centre", "held", n_rows)
+    rows = rows.select(F.col("member").alias("a"), F.col("centre").alias("b"), "mine", "its")
     return stage.write(_verify(threshold)(rows), f"{name}-links")
 
 
@@ -260,9 +279,16 @@ def _may_link(threshold: float):
 
 
 def _centres(classed: DataFrame, k: int) -> DataFrame:
-    """band, held and the centres of each group of several classes: the first by hash in each of GROWTH**k slots, which its members are dealt to."""
+    """band, held and the centres of each group of several classes: the first by hash in each of its slots, which its members are dealt to.
+
+    Slots are GROWTH times as many each round, and GROWTH squared times after refining.
+    """
     draw = F.struct(F.xxhash64("id", "band", F.lit(k)).alias("h"), *[F.col(c).alias(c) for c in ("id", "cls", "place", "n")])
-    slot = F.pmod(F.xxhash64("id", "band", F.lit(k + 1000)), F.lit(GROWTH**k)).alias("slot")
+    if not k:
+        groups = classed.groupBy("band").agg(F.count("*").alias("held"), F.min("cls").alias("low"), F.max("cls").alias("high"), F.array(F.min(draw)).alias("centres"))
+        return groups.filter("low <> high").select("band", "held", "centres")
+    n_slots = GROWTH ** (k if k <= REFINE_AFTER else 2 * k - REFINE_AFTER - 1)
+    slot = F.pmod(F.xxhash64("id", "band", F.lit(k + 1000)), F.lit(n_slots)).alias("slot")
     slots = classed.groupBy("band", slot).agg(F.count("*").alias("held"), F.min("cls").alias("low"), F.max("cls").alias("high"), F.min(draw).alias("first"))
     groups = slots.groupBy("band").agg(F.sum("held").alias("held"), F.min("low").alias("low"), F.max("high").alias("high"), F.collect_list("first").alias("centres"))
     return groups.filter("low <> high").select("band", "held", "centres")
@@ -270,11 +296,14 @@ def _centres(classed: DataFrame, k: int) -> DataFrame:
 
 def _joined_classes(labels: DataFrame | None, found: DataFrame, stage: Stage, name: str, n_rows: int) -> DataFrame:
     """node and label after new links: only the classes that they join are solved anew."""
+    edges = found if labels is None else found.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
+    if edges.count() <= SOLVED:
+        return stage.write(solved(edges), f"{name}-solved")
     if labels is None:
-        return components(found, stage, name)
+        return components(found, stage, name, SOLVED)
     of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
     ends = found.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-    moved = components(ends, stage, name)
+    moved = components(ends, stage, name, SOLVED)
     sizes = labels.groupBy("label").agg(F.count("*").alias("held"))
     moves = moved.select(F.col("node").alias("label"), F.col("label").alias("to")).join(sizes, "label")
     stay = labels.join(moves.select("label"), "label", "left_anti").select("node", "label")
@@ -300,31 +329,35 @@ def _judged(docs: DataFrame, threshold: float) -> DataFrame:
         if labels is None:
             classed = holders.withColumn("cls", F.col("id"))
         else:
-            classed = holders.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("cls", F.coalesce("label", "id")).drop("label")
-        classed = classed.select("id", "cls", F.inline("entries"))
+            classed = holders.join(small(labels, LIGHT).withColumnRenamed("node", "id"), "id", "left").withColumn("cls", F.coalesce("label", "id")).drop("label")
+        classed = classed.select("id", "cls", *([F.inline("entries")] if "entries" in holders.columns else ["band", "place", "n"]))
         if k == REFINE_AFTER:
             state = classed.groupBy("band").agg(F.count("*").alias("held"), F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low <> high")
-            open_rows = stage.write(attach(classed, state.select("band", "held"), "band", "held", n_rows), f"open-{k}")
+            state = stage.write(state.select("band", "held"), f"groups-{k}")
+            open_rows = stage.write(_met(classed, state, "band", "held", n_rows), f"open-{k}")
             large = open_rows.filter(F.col("held") > LARGE).select("id").distinct()
             small_groups = open_rows.filter(F.col("held") <= LARGE).select("band", "id", "place", "n")
-            holders = stage.write(_gathered(small_groups.unionByName(_prefixes(sets, large, threshold, stage))), f"holders-{k}-fine")
+            holders = small_groups.unionByName(_prefixes(sets, large, threshold, stage))
+            holders = stage.write(holders if labels is None or _light(labels) else _gathered(holders), f"holders-{k}-fine")
             k += 1
             continue
-        met = attach(classed, _centres(classed, k), "band", "held", n_rows)
+        groups = stage.write(_centres(classed, k), f"groups-{k}")
+        met = _met(classed, groups, "band", "held", n_rows)
         met = met.withColumns({"is_centre": F.exists("centres", lambda c: c["id"] == F.col("id")), "centres": F.filter("centres", _may_link(threshold))})
         open_rows = stage.write(met.select("band", "id", "place", "n", "is_centre", F.transform("centres", lambda c: c["id"]).alias("centres")), f"open-{k}")
         if sets is None:
-            suspects = stage.write(nodes.join(open_rows.select("id").distinct(), "id", "left_semi").select("id", "first.key", "first.tag"), "suspects")
+            suspects = stage.write(nodes.join(small(open_rows.select("id").distinct(), LIGHT), "id", "left_semi").select("id", "first.key", "first.tag"), "suspects")
             sets = stage.write(texts.join(small(suspects), ["key", "tag"]).select("id", "text").mapInArrow(_sets, "id long, units binary").dropDuplicates(["id"]), "sets")
         pairs = open_rows.select(F.col("id").alias("member"), F.explode("centres").alias("centre")).distinct()
         found = _compare(pairs, sets, threshold, stage, f"round-{k}", n_rows).select("a", "b")
         if not found.isEmpty():
             labels = _joined_classes(labels, found, stage, f"classes-{k}", n_rows)
-        holders = stage.write(_gathered(open_rows.filter(~F.col("is_centre"))), f"holders-{k + 1}")
+        holders = open_rows.filter(~F.col("is_centre"))
+        holders = stage.write(_gathered(holders), f"holders-{k + 1}") if labels is not None and not _light(labels) else holders
         k += 1
     content = nodes.select("id", "content", "size", "first")
     if labels is not None:
-        content = content.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+        content = content.join(small(labels, LIGHT).withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     else:
         content = content.withColumn("label", F.col("id"))
     content = stage.write(content, "content")

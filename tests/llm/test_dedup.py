@@ -7,7 +7,7 @@ import re
 
 import numpy as np
 
-from lexloom.llm import exact_dedup, fuse_filter, line_dedup, near_dedup, substring_dedup, words
+from lexloom.llm import components, exact_dedup, fuse_filter, line_dedup, near_dedup, substring_dedup, words
 from tests.llm.fixtures import frame, odd_rows, same, sample_rows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -205,6 +205,45 @@ def test_components_of_a_chain_in_the_order_of_ids(spark):
     assert sum("sent" in x for x in names) <= 14
 
 
+def test_smallest_node_of_each_component():
+    rnd = random.Random(23)
+    for n in (0, 1, 40, 400):
+        edges = [(rnd.randrange(n), rnd.randrange(n)) for _ in range(n)] + [(1000 + i, 999 + i) for i in range(n)] + [(5000, 5000 - i) for i in range(1, n)]
+        label = {x: x for edge in edges for x in edge}
+        for _ in label:
+            for a, b in edges:
+                label[a] = label[b] = min(label[a], label[b])
+            if all(label[a] == label[b] for a, b in edges):
+                break
+        found = components.smallest(*(np.array(side, np.int64) for side in (list(zip(*edges, strict=True)) or [(), ()])))
+        assert dict(zip(*(x.tolist() for x in found), strict=True)) == label
+
+
+def test_near_dedup_by_shuffles_alone_and_with_few_tables(spark, monkeypatch):
+    """Small tables go out whole and one task solves their links; above the limits all is shuffled, and the classes are the same."""
+    rnd = random.Random(5)
+    base = [f"w{rnd.randrange(10_000)}" for _ in range(200)]
+    texts = []
+    for _ in range(90):
+        base[rnd.randrange(len(base))] = f"new{rnd.randrange(10_000)}"
+        texts.append(" ".join(base))
+    rows = [(i, t, "en", "src0", len(t)) for i, t in enumerate(texts)] + [(1000 + r[0], *r[1:]) for r in sample_rows(6, 10)]
+    written, write = [], near_dedup.Stage.write
+    monkeypatch.setattr(near_dedup.Stage, "write", lambda self, df, name: (written.append(name), write(self, df, name))[1])
+    light = sorted(classes_of(near_dedup.near_classes(frame(spark, rows))))
+    assert light == sorted(brute_classes(rows))
+    assert not [x for x in written if re.search("sent|edges|holders-[^2]", x)]
+    for limit in ("LIGHT", "SOLVED"):
+        monkeypatch.setattr(near_dedup, limit, 0)
+    written.clear()
+    assert sorted(classes_of(near_dedup.near_classes(frame(spark, rows)))) == light
+    assert [x for x in written if "sent" in x] and not [x for x in written if "solved" in x]
+    monkeypatch.setattr(near_dedup, "SOLVED", 60)  # the last edges of each round
+    written.clear()
+    assert sorted(classes_of(near_dedup.near_classes(frame(spark, rows)))) == light
+    assert [x for x in written if "rest" in x or "solved" in x]
+
+
 def test_near_dedup_empty(spark):
     assert near_dedup.near_classes(frame(spark, [])).count() == 0
 
